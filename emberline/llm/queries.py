@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import chat_format, exact_dedup, sharding
+from emberline.llm import chat_format, exact_dedup, langid, packing, sharding, simhash_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document, learnt from the labels that are not held out."""
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every document the one of its equal texts that stays."""
     return exact_dedup.decide(_table(spark, sf_dir, "documents")).select(
@@ -57,5 +62,26 @@ SELECT conv_id, count(*) AS n_turns,
 FROM w GROUP BY conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_exact_dedup, op5_chat_format)}
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document, over 3-word shingles."""
+    return simhash_dedup.group(_table(spark, sf_dir, "documents"), 3).select(
+        "doc_id", F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token pieces, packed into sequences of 4096 tokens."""
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by profiles of the rows that are not held out."""
+    return langid.predict(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_sharding, op2_toxicity, op3_exact_dedup, op5_chat_format, op6_simhash, op8_best_fit_packing, op10_language_id)
+}
 ORACLES = {"op3_exact_dedup": OP3_SQL, "op5_chat_format": OP5_SQL}
