@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import chat_format, exact_dedup, langid, packing, sharding, simhash_dedup, toxicity
+from emberline.llm import chat_format, decontaminate, exact_dedup, langid, packing, quality, sharding, simhash_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,11 +70,34 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document contains at 0.8 or more of its 5-word shingles."""
+    return decontaminate.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+bs AS (SELECT DISTINCT item_id, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM b WHERE len(w) >= 5)),
+n AS (SELECT item_id, count(*) AS item_shingles FROM bs GROUP BY item_id)
+SELECT doc_id, item_id, count(*) AS shared, any_value(item_shingles) AS item_shingles, count(*) / any_value(item_shingles)::DOUBLE AS containment
+FROM bs JOIN ds USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(item_shingles)
+"""
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's token pieces, packed into sequences of 4096 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grade of every document: 0 poor, 1 sound but toxic, 2 sound; selected from grade 1."""
+    labels = _table(spark, sf_dir, "labels")
+    ratings = labels.select("doc_id", F.expr("quality + quality * (1 - toxic)").alias("grade"))
+    return quality.score(_table(spark, sf_dir, "documents"), ratings, 2)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, by profiles of the rows that are not held out."""
     return langid.predict(_table(spark, sf_dir, "documents"))
@@ -82,6 +105,16 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_sharding, op2_toxicity, op3_exact_dedup, op5_chat_format, op6_simhash, op8_best_fit_packing, op10_language_id)
+    for f in (
+        op1_sharding,
+        op2_toxicity,
+        op3_exact_dedup,
+        op5_chat_format,
+        op6_simhash,
+        op7_decontamination,
+        op8_best_fit_packing,
+        op9_quality,
+        op10_language_id,
+    )
 }
-ORACLES = {"op3_exact_dedup": OP3_SQL, "op5_chat_format": OP5_SQL}
+ORACLES = {"op3_exact_dedup": OP3_SQL, "op5_chat_format": OP5_SQL, "op7_decontamination": OP7_SQL}
