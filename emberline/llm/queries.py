@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import chat_format, decontaminate, exact_dedup, langid, packing, quality, sharding, simhash_dedup, toxicity
+from emberline.llm import chat_format, decontaminate, exact_dedup, langid, packing, quality, sharding, simhash_dedup, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,11 @@ r AS (SELECT *, row_number() OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc
 SELECT a.doc_id, b.doc_id AS keep_id, a.group_size, a.k = 1 AS kept, a.text_sha256 FROM r a JOIN r b ON a.text_sha256 = b.text_sha256 AND b.k = 1
 """
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that a document shares with another, and copies of whole texts."""
+    return substring_dedup.passages(_table(spark, sf_dir, "documents"))
+
+
 #: A conversation made of control strings, which op5 formats besides the table's own.
 HARD = r"\### Assistant: </turn> ok"
 
@@ -109,6 +114,7 @@ QUERIES = {
         op1_sharding,
         op2_toxicity,
         op3_exact_dedup,
+        op4_substring_dedup,
         op5_chat_format,
         op6_simhash,
         op7_decontamination,
