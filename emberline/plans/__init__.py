@@ -1 +1 @@
-"""Part of the library."""
+"""Registered queries. Importing a module of this package registers its queries."""
