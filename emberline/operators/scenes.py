@@ -1,12 +1,202 @@
-"""Fire detection on tables of image pixels."""
+"""Fire detection on tables of image pixels (fn, y, x, bands) with scanlines (fn, y, time).
+
+A scene is cut into segments of rows; everything after that is local to a segment, so one shuffle by
+(fn, segment) serves masks, tiles and the contextual test.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberline.schemas import SCENE
+
 
 def nearest_pixel(df: DataFrame, lat: float, lon: float, lat_radius: float, lon_radius: float) -> DataFrame:
     """For each orbit the pixels of a box around a site with the least distance in latitude; ties all stay."""
     box = df.filter(F.col("lat").between(lat - lat_radius, lat + lat_radius) & F.col("lon360").between(lon - lon_radius, lon + lon_radius))
     return box.withColumn("__r", F.rank().over(Window.partitionBy("fn").orderBy(F.abs(F.col("lat") - lat)))).filter("__r = 1").drop("__r")
+
+
+def scene_mask(px: DataFrame, conf: dict = SCENE, bands: tuple[str, ...] = ("b1", "b2", "b3", "b4", "b5")) -> DataFrame:
+    """Bands are missing by day, beyond the latitudes, and at high angles."""
+    out = (F.col("b1") > conf["b1_max"]) | (F.col("lat") > conf["lat_max"]) | (F.col("lat") < conf["lat_min"]) | (F.col("satza") > conf["satza_max"])
+    return px.withColumns({b: F.when(F.coalesce(out, F.lit(False)), F.lit(None)).otherwise(F.col(b)) for b in bands})
+
+
+def band_diffs(px: DataFrame) -> DataFrame:
+    return px.withColumns({"b34": F.col("b3") - F.col("b4"), "b45": F.col("b4") - F.col("b5")})
+
+
+def slot(at: Column, size: Column, parts: int) -> Column:
+    """Which of ``parts`` nearly equal parts of 0..size a place is in; edges are rounded, halves to even."""
+    edges = F.transform(F.sequence(F.lit(1), F.lit(parts)), lambda i: F.rint(i * size / parts))
+    return F.size(F.filter(edges, lambda e: e <= at))
+
+
+def edge(part: Column, size: Column, parts: int) -> Column:
+    """First place of a part."""
+    return F.rint(part * size / parts).cast("int")
+
+
+def segment_orbits(px: DataFrame, segments: int = SCENE["segments"], min_valid: float = SCENE["min_valid"]) -> DataFrame:
+    """``px`` with subset_no, its first row and its rows; segments with too few valid pixels are left out."""
+    size = px.groupBy("fn").agg((F.max("y") + 1).alias("__n"))
+    out = px.join(size, "fn")
+    out = out.withColumn("subset_no", slot(F.col("y"), F.col("__n"), segments))
+    first = edge(F.col("subset_no"), F.col("__n"), segments)
+    out = out.withColumns({"row_min": first, "n_rows": edge(F.col("subset_no") + 1, F.col("__n"), segments) - first}).drop("__n")
+    by = Window.partitionBy("fn", "subset_no")
+    return out.withColumn("__v", F.count("b3").over(by) / F.count("*").over(by)).filter(F.col("__v") > min_valid).drop("__v")
+
+
+def cloud_mask(px: DataFrame, conf: dict = SCENE) -> DataFrame:
+    """cloud 1 where it is cold, or reflects in the middle infrared without being warm."""
+    test = (F.col("b4") < conf["cold"]) | ((F.col("b34") > conf["cloud_b34"]) & (F.col("b3") < conf["cloud_b3"]))
+    return px.withColumn("cloud", F.coalesce(test, F.lit(False)).cast("int"))
+
+
+def buffer_mask(px: DataFrame) -> DataFrame:
+    """cloud_buffered 1 within one pixel of a cloud of the same segment."""
+    step = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    near = px.filter("cloud = 1").select("fn", "subset_no", "y", "x", F.explode(step).alias("dy")).withColumn("dx", F.explode(step))
+    near = near.select("fn", "subset_no", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), F.lit(1).alias("__c")).distinct()
+    out = px.join(near, ["fn", "subset_no", "y", "x"], "left")
+    return out.withColumn("cloud_buffered", F.coalesce("__c", F.lit(0))).drop("__c")
+
+
+def potential_fires(px: DataFrame, conf: dict = SCENE, tiles: int = SCENE["tiles"]) -> DataFrame:
+    """candidate 1 for pixels above their tile's percentile in b3 and in b34, clear, and warm against b4."""
+    width = F.max("x").over(Window.partitionBy("fn")) + 1
+    tiled = px.withColumn("__w", width).withColumns(
+        {"tile_r": slot(F.col("y") - F.col("row_min"), F.col("n_rows"), tiles), "tile_c": slot(F.col("x"), F.col("__w"), tiles)}
+    )
+    keys = ["fn", "subset_no", "tile_r", "tile_c"]
+    cut = tiled.groupBy(*keys).agg(F.percentile("b3", F.lit(conf["percentile"])).alias("__p3"), F.percentile("b34", F.lit(conf["percentile"])).alias("__p34"))
+    test = (F.col("b3") > F.col("__p3")) & (F.col("b34") > F.col("__p34")) & (F.col("cloud_buffered") == 0) & (F.col("b34") >= conf["min_b34"])
+    return tiled.join(cut, keys).withColumn("candidate", F.coalesce(test, F.lit(False)).cast("int")).drop("__p3", "__p34", "__w")
+
+
+def contextual_test(b3: np.ndarray, b34: np.ndarray, candidate: np.ndarray, cloud: np.ndarray, conf: dict = SCENE) -> list[tuple[int, int, str]]:
+    """(row, column, status) of every candidate of a segment: fire, not fire, or undetermined.
+
+    The background is the window without the 3 x 3 pixels around the candidate; candidates, clouds and missing pixels are no background.
+    The window grows from 5 x 5 to 15 x 15 until enough of it is background.
+    """
+    there = ~np.isnan(b3)
+    usable = there & (candidate == 0) & (cloud == 0)
+    out = []
+    for y, x in zip(*np.nonzero(candidate == 1)):
+        status = "undetermined"
+        for reach in range(2, 8):
+            rows, cols = slice(max(0, y - reach), y + reach + 1), slice(max(0, x - reach), x + reach + 1)
+            ring = np.ones(b3[rows, cols].shape, bool)
+            ring[max(0, y - 1 - rows.start) : y + 2 - rows.start, max(0, x - 1 - cols.start) : x + 2 - cols.start] = False
+            possible = (ring & there[rows, cols]).sum()
+            good = ring & usable[rows, cols]
+            if possible and good.sum() / possible > conf["background"]:
+                passed = True
+                for band in (b34, b3):
+                    v = band[rows, cols][good]
+                    mean = v.mean()
+                    spread = np.abs(v - mean).mean()
+                    least = mean + (conf["factor"] + spread if spread < 1 else conf["factor"] * spread)
+                    passed &= bool(band[y, x] >= least)
+                status = "fire" if passed else "not fire"
+                break
+        out.append((int(y), int(x), status))
+    return out
+
+
+def contextual_fires(px: DataFrame, conf: dict = SCENE) -> DataFrame:
+    """(fn, subset_no, y, x, status) of the candidates; one group is one segment, a few megabytes by the segment count."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        y0, x0 = pdf["y"].min(), pdf["x"].min()
+        shape = pdf["y"].max() - y0 + 1, pdf["x"].max() - x0 + 1
+        at = pdf["y"] - y0, pdf["x"] - x0
+
+        def image(c: str, missing: float) -> np.ndarray:
+            a = np.full(shape, missing)
+            a[at] = pdf[c].to_numpy(float)
+            return a
+
+        found = contextual_test(image("b3", np.nan), image("b34", np.nan), image("candidate", 0), image("cloud_buffered", 0), conf)
+        rows = [(pdf["fn"].iloc[0], pdf["subset_no"].iloc[0], y + y0, x + x0, s) for y, x, s in found]
+        return pd.DataFrame(rows, columns=["fn", "subset_no", "y", "x", "status"])
+
+    kept = px.select("fn", "subset_no", "y", "x", "b3", "b34", "candidate", "cloud_buffered")
+    schema = f"fn {px.schema['fn'].dataType.simpleString()}, subset_no int, y {px.schema['y'].dataType.simpleString()}, x {px.schema['x'].dataType.simpleString()}, status string"
+    return kept.groupBy("fn", "subset_no").applyInPandas(run, schema)
+
+
+def detect(px: DataFrame, conf: dict = SCENE, segments: int = SCENE["segments"], tiles: int = SCENE["tiles"]) -> DataFrame:
+    """``px`` (with b34) with segments, masks, candidates and status."""
+    masked = buffer_mask(cloud_mask(segment_orbits(px, segments, conf["min_valid"]), conf))
+    found = potential_fires(masked, conf, tiles)
+    return found.join(contextual_fires(found, conf), ["fn", "subset_no", "y", "x"], "left")
+
+
+def extract_fires(detected: DataFrame, scanlines: DataFrame) -> DataFrame:
+    """Pixels of confirmed fires with the date and time of their scanline."""
+    return detected.filter("status = 'fire'").join(scanlines, ["fn", "y"])
+
+
+def segment_summary(detected: DataFrame) -> DataFrame:
+    """Pixels, candidates, clouds and outcomes of each segment."""
+    return detected.groupBy("fn", "subset_no").agg(
+        F.count("*").alias("total_pxl"), F.count("b3").alias("valid_pxl"), F.sum("candidate").alias("candidates"), F.sum("cloud_buffered").alias("clouds"),
+        F.sum("cloud").alias("clouds_plain"), F.count_if(F.col("status") == "fire").alias("fires"), F.count_if(F.col("status") == "not fire").alias("not_fires"),
+        F.count_if(F.col("status") == "undetermined").alias("undetermined"),
+    )
+
+
+def scanline_ok(scan: DataFrame, flags: list[str], references: list[str]) -> DataFrame:
+    """Scanlines without a bad flag and without a negative reference reading."""
+    good = F.lit(True)
+    for c in flags:
+        good = good & (F.coalesce(F.col(c), F.lit(0)) == 0)
+    for c in references:
+        good = good & (F.coalesce(F.col(c), F.lit(0.0)) >= 0)
+    return scan.filter(good)
+
+
+def process_orbits(px: DataFrame, per_orbit, schema: str) -> tuple[DataFrame, DataFrame]:
+    """``per_orbit`` (pandas in, pandas out) on each orbit: the good rows, and (fn, error) of the orbits that failed."""
+    body = ", ".join(f"{c.strip()}" for c in schema.split(","))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return per_orbit(pdf).assign(status="ok", error=None)
+        except Exception as e:  # a log of what failed is the result here
+            return pd.DataFrame({"fn": [pdf["fn"].iloc[0]], "status": ["failed"], "error": [f"{type(e).__name__}: {e}"]})
+
+    names = [c.split()[0] for c in body.split(",")]
+    out = px.groupBy("fn").applyInPandas(lambda p: run(p).reindex(columns=[*names, "status", "error"]), f"{body}, status string, error string")
+    return out.filter("status = 'ok'").drop("status", "error"), out.filter("status = 'failed'").select("fn", "error")
+
+
+def stitch_orbits(scan: DataFrame, tolerance: float = 0.5) -> DataFrame:
+    """Scanlines (platform, fn, y, t in seconds, ok, value) of overlapping files as one series.
+
+    In the overlap of a file with the next one, a bad line takes the nearest good line of the next file within ``tolerance``;
+    the next file contributes what lies after the end of the file before it. ``used_fn`` names the file a line comes from.
+    """
+    by = Window.partitionBy("platform").orderBy("start", "fn")
+    files = scan.groupBy("platform", "fn").agg(F.min("t").alias("start"), F.max("t").alias("end"))
+    files = files.withColumns({"next_fn": F.lead("fn").over(by), "next_start": F.lead("start").over(by), "before": F.lag("end").over(by)})
+    lines = scan.join(F.broadcast(files.select("platform", "fn", "next_fn", "next_start", "before")), ["platform", "fn"])  # one row a file
+    lines = lines.filter(F.col("before").isNull() | (F.col("t") > F.col("before")))
+    bad = ~F.col("ok") & F.col("next_start").isNotNull() & (F.col("t") >= F.col("next_start"))
+    second = F.floor("t")
+    wanted = lines.filter(bad).select("platform", "fn", "y", "t", "next_fn", F.explode(F.array(second - 1, second, second + 1)).alias("sec"))
+    good = scan.filter("ok").select("platform", F.col("fn").alias("next_fn"), F.floor("t").alias("sec"), F.col("t").alias("t2"), F.col("value").alias("value2"))
+    gap = F.abs(F.col("t") - F.col("t2"))
+    best = wanted.join(good, ["platform", "next_fn", "sec"]).filter(gap <= tolerance).groupBy("platform", "fn", "y").agg(F.min_by(F.struct("next_fn", "value2"), F.struct(gap, "t2")).alias("new"))
+    out = lines.join(best, ["platform", "fn", "y"], "left")
+    return out.select(
+        "platform", "fn", "y", "t", (F.col("ok") | F.col("new").isNotNull()).alias("ok"), F.coalesce("new.next_fn", "fn").alias("used_fn"),
+        F.when(F.col("new").isNotNull(), F.col("new.value2")).otherwise(F.col("value")).alias("value"),
+    )
