@@ -34,14 +34,35 @@ def of_keys(df: DataFrame, h: Column, bits: int) -> DataFrame:
     return _words(df.select(F.explode(F.array(*_slots(h, bits))).alias("slot")))
 
 
+def _repeated_slots(df: DataFrame, h: Column, bits: int) -> DataFrame:
+    hit = df.select(F.explode(F.array_distinct(F.array(*_slots(h, bits)))).alias("slot"))
+    return hit.groupBy("slot").agg(F.count("*").alias("hits")).filter("hits > 1")
+
+
 def of_repeats(df: DataFrame, h: Column, bits: int) -> DataFrame:
     """The filter of positions hit by two rows or more: a hash that occurs twice has both of its positions set.
 
     A row counts once for each position, so a hash whose two positions coincide does not repeat itself.
     The count is combined before the shuffle; a hash that fills a third of the table is one row a task.
     """
-    hit = df.select(F.explode(F.array_distinct(F.array(*_slots(h, bits)))).alias("slot"))
-    return _words(hit.groupBy("slot").agg(F.count("*").alias("hits")).filter("hits > 1"))
+    return _words(_repeated_slots(df, h, bits))
+
+
+#: Bits of a bitmap that bitmap_construct_agg makes.
+BITMAP = 32768
+
+
+def repeats_as_bytes(df: DataFrame, h: Column, bits: int) -> bytearray:
+    """The filter of :func:`of_repeats` as bits / 8 bytes on the driver, for probing inside tasks.
+
+    The bits are packed by Spark; bits / BITMAP rows of 4 kB arrive, 8 MB for the largest filter.
+    """
+    packed = _repeated_slots(df, h, bits).groupBy(F.expr(f"slot div {BITMAP}").alias("at")).agg(F.bitmap_construct_agg(F.col("slot") % BITMAP).alias("bits"))
+    out = bytearray(bits // 8)
+    for row in packed.toLocalIterator():
+        at = row["at"] * BITMAP // 8
+        out[at : at + len(row["bits"])] = row["bits"]
+    return out
 
 
 def probe(df: DataFrame, words: DataFrame, h: Column, bits: int, flag: str) -> DataFrame:
