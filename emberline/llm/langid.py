@@ -120,7 +120,8 @@ def learn(docs: DataFrame, most: int = MOST_LABELLED) -> dict[str, dict[str, int
             for w, n in c.items():
                 for g in grams(w):
                     total[g] += n
-            yield pd.DataFrame({"lang": lang, "gram": list(total), "n": list(total.values())})
+            if total:
+                yield pd.DataFrame({"lang": lang, "gram": list(total), "n": list(total.values())})
 
     first = Window.partitionBy("lang").orderBy(F.desc("n"), F.crc32(F.col("gram").cast("binary")), "gram")
     top = (
