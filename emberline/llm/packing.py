@@ -22,6 +22,7 @@ kept. An empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import bisect
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,30 +39,57 @@ PART = 200_000
 _TOKENIZERS: dict = {}
 
 
-class Chunks(dict):
-    """Chunk of text -> its token ids as little-endian bytes, remembered for the chunks seen lately."""
+class Chunks:
+    """Token ids of texts as little-endian bytes; what stands between blanks is remembered for a while.
+
+    This tokenizer drops white space and never joins across it, so such chunks are tokenised alone. A chunk of
+    printable ASCII and Latin-1 letters, which normalising only lower-cases, goes word by word to the
+    tokenizer's model; any other chunk goes through the whole tokenizer.
+    """
+
+    MOST = 1 << 18
+    PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+    WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(chunk) <= 64:
-            if len(self) >= texts.CACHE // 2:
-                self.clear()
-            self[chunk] = ids
+        self.model = self.tokenizer.model
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
+        self.chunks: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {}
+
+    def word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            written = word if word.isascii() else word.translate(self.letters)
+            ids = self.words[word] = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(written))
         return ids
 
-
-def token_bytes(text: str | None, path: str) -> bytes:
-    """Token ids of a text and the end token, 4 bytes each."""
+    def chunk(self, chunk: str) -> bytes:
+        if "<|" in chunk or not self.PLAIN.fullmatch(chunk):
+            return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(self.word, self.WORDS.findall(chunk.lower())))
+
+    def of(self, batch: list[str | None]) -> list[bytes]:
+        """Token ids of each text and the end token, 4 bytes each."""
+        split = [(t or "").replace("\n", " ").split(" ") for t in batch]
+        if len(self.chunks) > self.MOST:
+            self.chunks = {"": b""}
+        if len(self.words) > self.MOST // 2:
+            self.words = {}
+        for c in set().union(*split).difference(self.chunks):
+            self.chunks[c] = self.chunk(c)
+        end = END.to_bytes(4, "little")
+        return [b"".join(map(self.chunks.__getitem__, chunks)) + end for chunks in split]
+
+
+def token_bytes(batch: list[str | None], path: str) -> list[bytes]:
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = Chunks(path)
-    # this tokenizer drops white space and never joins across it, so what stands between blanks is tokenised alone
-    chunks = (text or "").replace("\n", " ").split(" ")
-    return b"".join(map(_TOKENIZERS[path].__getitem__, chunks)) + END.to_bytes(4, "little")
+    return _TOKENIZERS[path].of(batch)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -73,8 +101,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
             for lo in range(0, whole.num_rows, texts.SLICE):
                 batch = whole.slice(lo, texts.SLICE)
                 at, piece, start, cut = [], [], [], []
-                for i, text in enumerate(batch.column(1).to_pylist()):
-                    ids = token_bytes(text, path)
+                for i, ids in enumerate(token_bytes(batch.column(1).to_pylist(), path)):
                     for k in range(0, -(-len(ids) // step)):
                         at.append(i)
                         piece.append(k)
