@@ -47,7 +47,7 @@ class Chunks:
     tokenizer's model; any other chunk goes through the whole tokenizer.
     """
 
-    MOST = 1 << 18
+    MOST = 1 << 17
     PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
     WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 

@@ -44,7 +44,7 @@ class Tokens(dict):
     """Token -> codes of its word and of its shape, remembered for the tokens seen lately."""
 
     def __missing__(self, token: str) -> tuple[int, int]:
-        if len(self) >= texts.CACHE // 2:
+        if len(self) >= texts.CACHE:
             self.clear()
         word = "".join(c for c in token.lower() if c.isalnum())
         found = self[token] = crc32(word.encode("utf-8", "surrogatepass")), crc32(shape(token).encode("utf-8", "surrogatepass"))

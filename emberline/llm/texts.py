@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 WORD = re.compile(r"\w+")
 #: Entries of a worker's cache before it starts anew.
-CACHE = 1 << 20
+CACHE = 1 << 17
 #: Texts that are Python objects at one time.
 SLICE = 512
 

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,7 +29,7 @@ from emberline.llm import texts
 
 BITS = 20
 #: Rows that the model is fitted on at most, about.
-MOST_LABELLED = 12_000
+MOST_LABELLED = 8_000
 GAPS = (1, 2, 3)
 RATE, BETA, L1, L2, EPOCHS = 1.0, 1.0, 8.0, 0.0, 3
 #: Documents that must hold a feature before it is learnt; rarer ones would only memorise their documents.
@@ -57,7 +58,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, least: int = LEAST) -> tuple
         l1 = np.where(at == bias_at, 0.0, L1)
         return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((BETA + np.sqrt(ni)) / RATE + L2))
 
-    rows = [np.append(r, bias_at) for r in rows]
+    rows = [np.append(r, np.int32(bias_at)) for r in rows]
     for _ in range(EPOCHS):
         for at, y in zip(rows, labels):
             w = weights(at)
@@ -80,19 +81,22 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["__y"], "x": [np.unique(features(t)) for t in b["text"]]})
 
-    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the features of a batch stay one flat array; rows are views of it
         x, y, ids = [], [], []
         for b in batches:
-            x += list(b["x"])
-            y += list(b["y"])
-            ids += list(b["doc_id"])
+            lists = b.column(2)
+            flat, ends = np.array(lists.values), np.array(lists.offsets)
+            x += [flat[i:j] for i, j in zip(ends, ends[1:])]
+            y += b.column(1).to_pylist()
+            ids += b.column(0).to_pylist()
         if x:
             order = np.argsort(np.array([texts.crc32(str(i).encode()) for i in ids]), kind="stable")
             at, w, bias = fit([x[i] for i in order], np.array(y)[order], least)
-            yield pd.DataFrame({"feature": [at], "weight": [w], "bias": [bias]})
+            yield pa.RecordBatch.from_arrays([pa.array([at.astype(np.int32)]), pa.array([w]), pa.array([bias])], names=["feature", "weight", "bias"])
 
     made = rows.mapInPandas(make, "doc_id long, y double, x array<int>")
-    model = made.repartition(1).sortWithinPartitions("doc_id", "y").mapInPandas(learn, "feature array<int>, weight array<double>, bias double").collect()
+    model = made.repartition(1).sortWithinPartitions("doc_id", "y").mapInArrow(learn, "feature array<int>, weight array<double>, bias double").collect()
     return model[0].asDict() if model else None
 
 
