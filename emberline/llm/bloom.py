@@ -52,12 +52,13 @@ def of_repeats(df: DataFrame, h: Column, bits: int) -> DataFrame:
 BITMAP = 32768
 
 
-def repeats_as_bytes(df: DataFrame, h: Column, bits: int) -> bytearray:
-    """The filter of :func:`of_repeats` as bits / 8 bytes on the driver, for probing inside tasks.
+def keys_as_bytes(df: DataFrame, h: Column, bits: int) -> bytearray:
+    """The filter of :func:`of_keys` as bits / 8 bytes on the driver, for probing inside tasks.
 
     The bits are packed by Spark; bits / BITMAP rows of 4 kB arrive, 8 MB for the largest filter.
     """
-    packed = _repeated_slots(df, h, bits).groupBy(F.expr(f"slot div {BITMAP}").alias("at")).agg(F.bitmap_construct_agg(F.col("slot") % BITMAP).alias("bits"))
+    slots = df.select(F.explode(F.array(*_slots(h, bits))).alias("slot"))
+    packed = slots.groupBy(F.expr(f"slot div {BITMAP}").alias("at")).agg(F.bitmap_construct_agg(F.col("slot") % BITMAP).alias("bits"))
     out = bytearray(bits // 8)
     for row in packed.toLocalIterator():
         at = row["at"] * BITMAP // 8
