@@ -22,13 +22,16 @@ table gives an empty result; other columns are kept by ``drop_near_duplicates``
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberline.llm import components, scratch, skew, texts
+from emberline.llm import bloom, components, scratch, skew, texts
 
 SEED = 42
 BITS_APART = 3
@@ -139,3 +142,126 @@ def group(docs: DataFrame, n: int = 3, long: int = LONG) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, n: int = 3) -> DataFrame:
     """One document of each component, the one of the smallest doc_id, with all its columns."""
     return skew.keep_rows(docs, group(docs, n).select("doc_id", "row_hash", F.col("best").alias("kept")))
+
+
+#: Fingerprints of a document for copies at a similarity, and the longest list that is paired for them.
+SKETCHES, STAR = 6, 16
+
+
+def sketches(text: str | None, k: int = SKETCHES) -> list[int]:
+    """``k`` SimHashes of the set of 4-byte runs of a text (A-Z lower-cased, white space collapsed), each under its own hash."""
+    b = np.frombuffer(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()), np.uint8).astype(np.uint64)
+    grams = np.zeros(max(1, len(b) - 3), np.uint64)
+    if len(b) >= 4:
+        for i in range(4):
+            grams = grams * np.uint64(256) + b[i : len(b) - 3 + i]
+    grams = np.unique(grams)
+    out = []
+    for seed in range(k):
+        h = (grams + np.uint64(7919 * seed + 1)) * texts.MIX[0]
+        for shift, m in ((30, texts.MIX[1]), (27, texts.MIX[2]), (31, texts.MIX[3])):
+            h = (h ^ (h >> np.uint64(shift))) * m
+        h ^= h >> np.uint64(29)
+        on = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * on > len(h), bitorder="little").view(np.int64)[0]))
+    return out
+
+
+def shingle_codes(text: str | None, n: int) -> bytes:
+    """The distinct word shingles of a text as sorted 32-bit codes."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    n = min(n, len(words))
+    line = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]).tolist()
+    h = [xxhash.xxh32_intdigest(line[a : b - 1]) for a, b in zip([0, *ends], ends[n - 1 :])] if n else []
+    return np.unique(np.array(h, "<u4")).tobytes()
+
+
+def _close(nodes: DataFrame) -> DataFrame:
+    """Candidate links (a, b) of nodes (id, f) within BITS_APART bits: all pairs of short lists; members of longer ones with the first.
+
+    Longer lists are also dealt again under more bytes, so most of their pairs meet in a short list.
+    """
+    masks = F.explode(F.array(*[F.lit(_signed(m)) for m in TRIPLES]))
+    postings = nodes.select("id", "f", masks.alias("mask")).withColumn("part", F.expr("f & mask"))
+    near = F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= BITS_APART
+    found = None
+    for _ in range(3):
+        lists = postings.groupBy("mask", "part").agg(F.count("*").alias("n"), F.min(F.struct("id", "f")).alias("first")).filter("n > 1")
+        lists = scratch.materialize(lists, "lists")
+        listed = postings.join(lists, ["mask", "part"])
+        stars = listed.filter((F.col("n") > STAR) & (F.col("id") != F.col("first.id"))).select(F.col("id").alias("a"), F.col("first.id").alias("b"), "f", F.col("first.f").alias("g"))
+        short = listed.filter(F.col("n") <= STAR).select("mask", "part", "id", "f")
+        pairs = short.select("mask", "part", F.col("id").alias("a"), "f").join(short.select("mask", "part", F.col("id").alias("b"), F.col("f").alias("g")), ["mask", "part"])
+        both = pairs.filter("a > b").select("a", "b", "f", "g").unionByName(stars).filter(near).select("a", "b")  # a > b: the first of a list is its smallest
+        found = both if found is None else found.unionByName(both)
+        long = scratch.materialize(listed.filter(F.col("n") > STAR).select("id", "f", "mask"), "long")
+        if long.isEmpty():
+            break
+        more = F.explode(F.array(*[F.lit(_signed(0xFF << (8 * i))) for i in range(8)]))
+        wider = long.select("id", "f", "mask", more.alias("byte")).filter("(mask & byte) = 0").select("id", "f", F.expr("mask | byte").alias("mask"))
+        postings = scratch.materialize(wider.distinct().withColumn("part", F.expr("f & mask")), "postings")
+    return found.distinct()
+
+
+def _similar(links: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """The links whose nodes (id, codes) reach the Jaccard similarity."""
+    ends = scratch.materialize(links.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends")
+    bits = bloom.bits_for(ends.count())
+    marked = bloom.probe(nodes.select("id", "codes"), bloom.of_keys(ends, F.col("id"), bits), F.col("id"), bits, "linked")
+    held = marked.filter("linked").drop("linked")
+    both = links.join(held.select(F.col("id").alias("a"), F.col("codes").alias("x")), "a").join(held.select(F.col("id").alias("b"), F.col("codes").alias("y")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                p, q = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+                shared = len(np.intersect1d(p, q, assume_unique=True))
+                if shared >= threshold * (len(p) + len(q) - shared):
+                    keep.append(i)
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
+
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def group_similar(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
+    """doc_id, row_hash, uid, component_id and best, for copies at ``threshold`` Jaccard similarity of their ``n``-word shingles.
+
+    Such copies differ in more than three bits of one fingerprint, so each document has SKETCHES of them, taken one after the
+    other: candidates within three bits are verified on their shingles, and what links to a smaller node does not go on to the next.
+    Every link is verified; a pair is missed only if it is close under none of the fingerprints.
+    """
+    kinds = [T.StructField("fs", T.ArrayType(T.LongType())), T.StructField("codes", T.BinaryType())]
+    rows = docs.select("doc_id", "text", skew.row_hash(docs).alias("row_hash"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("id"))
+    made = lambda batch: [[sketches(t) for t in batch], [shingle_codes(t, n) for t in batch]]
+    rows = texts.add_columns(rows, kinds, made).drop("text").withColumn("uid", F.monotonically_increasing_id())
+    rows = scratch.materialize(rows, "similar")
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
+    nodes = scratch.materialize(rows.groupBy("id").agg(F.count("*").alias("copies"), F.min(first).alias("first"), F.first("fs").alias("fs"), F.first("codes").alias("codes")), "nodes")
+    alive, merged = nodes, None
+    for k in range(SKETCHES):
+        links = scratch.materialize(_close(alive.select("id", F.col("fs")[k].alias("f"))), "close")
+        if links.isEmpty():
+            continue
+        verified = scratch.materialize(_similar(links, alive, threshold), "verified")
+        merged = verified if merged is None else merged.unionByName(verified)
+        alive = alive.join(verified.select(F.col("a").alias("id")).distinct(), "id", "left_anti")
+    slim = nodes.select("id", "copies", "first")
+    if merged is None:
+        rooted = slim.withColumn("root", F.col("id"))
+    else:
+        final = components.components(merged, "a", "b")
+        rooted = slim.join(final.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rooted = scratch.materialize(rooted, "rooted")
+    best = rooted.groupBy("root").agg(F.min("first").alias("best"))
+    classes = rooted.select("id", "copies", "root").join(best, "root").select("id", "copies", "best")
+    return skew.join_groups(rows.drop("fs", "codes"), classes, "id", "copies", rows.count()).select(
+        "doc_id", "row_hash", "uid", F.col("best.doc_id").alias("component_id"), (F.col("uid") == F.col("best.uid")).alias("best")
+    )
+
+
+def drop_similar(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
+    """One document of each group of :func:`group_similar`, the one of the smallest doc_id, with all its columns."""
+    return skew.keep_rows(docs, group_similar(docs, n, threshold).select("doc_id", "row_hash", F.col("best").alias("kept")))

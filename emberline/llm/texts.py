@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 WORD = re.compile(r"\w+")
 #: Entries of a worker's cache before it starts anew.
@@ -42,7 +43,7 @@ def add_columns(docs: DataFrame, fields: list[T.StructField], of_texts: Callable
     """``docs`` with columns that ``of_texts`` makes of a list of texts; nothing else about a row changes."""
     at = docs.columns.index(text)
     schema = T.StructType([*docs.schema.fields, *fields])
-    kinds = [{T.DoubleType: pa.float64(), T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.StringType: pa.string(), T.BooleanType: pa.bool_()}[type(f.dataType)] for f in fields]
+    kinds = [to_arrow_type(f.dataType) for f in fields]
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -88,9 +88,31 @@ def test_near_odd_rows(odd, empty):
     assert len(got) == len(ROWS)
     none = [r for r in got if r.doc_id in (4, 5, 6)]
     assert {r.f for r in none} == {0} and {r.component_id for r in none} == {4}
-    kept = simhash_dedup.drop_near_duplicates(odd)
-    assert kept.columns == odd.columns and kept.count() == len({(r.component_id) for r in got})
+    near = simhash_dedup.drop_near_duplicates(odd)
+    assert near.columns == odd.columns and near.count() == len({r.component_id for r in got})
+    kept = simhash_dedup.drop_similar(odd)
+    # by 5-word shingles: the rows of equal words (1, 2, 7, 7 and the null doc_id), and those without a word
+    assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 8, 9, 10]
     assert simhash_dedup.group(empty).count() == 0 and simhash_dedup.drop_near_duplicates(empty).count() == 0
+    assert simhash_dedup.drop_similar(empty).count() == 0
+
+
+def test_copies_at_a_similarity(spark):
+    base = [passage(200 + i, 220) for i in range(3)]
+    rows = []
+    for g, words in enumerate(base):
+        for c in range(40):
+            w = list(words)
+            for k in range(c % 4):
+                w[(31 * c + 53 * k) % len(w)] = f"edit{c}{k}"
+            rows.append((1000 * g + c, " ".join(w), "x"))
+    rows += [(9000 + i, " ".join(passage(300 + i, 220)), "x") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, best string")
+    got = {r.doc_id: r.component_id for r in simhash_dedup.group_similar(df).collect()}
+    joined = sum(got[i] == 1000 * (i // 1000) for i, *_ in rows if i < 9000)
+    assert joined >= 0.95 * 120 and all(got[i] == i for i, *_ in rows if i >= 9000)
+    kept = {r.doc_id for r in simhash_dedup.drop_similar(df).collect()}
+    assert kept == set(got.values())
 
 
 def test_substring_finds_every_repeated_passage(spark, sf):
