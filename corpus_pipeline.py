@@ -23,8 +23,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
-    return simhash_dedup.drop_near_duplicates(docs)
+    """Of each group of copies at 0.8 of their 5-word shingles the document with the smallest doc_id stays."""
+    return simhash_dedup.drop_similar(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ STAGES = [
     ("best-fit packing", packed),
 ]
 
-#: The stages hold trained weights and a tokenizer, which SQL cannot express; tests compare them with brute force.
+#: The stages hold trained weights and a tokenizer, which SQL cannot express; tests/llm compares the survivors with brute force.
 ORACLE_SQL = None
 
 

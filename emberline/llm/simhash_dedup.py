@@ -25,6 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -146,6 +147,8 @@ def drop_near_duplicates(docs: DataFrame, n: int = 3) -> DataFrame:
 
 #: Fingerprints of a document for copies at a similarity, and the longest list that is paired for them.
 SKETCHES, STAR = 6, 16
+#: Members of a longer list that all others are verified with first, and the members that a block of the rest has on a side.
+HUBS, BLOCK = 4, 128
 
 
 def sketches(text: str | None, k: int = SKETCHES) -> list[int]:
@@ -177,40 +180,95 @@ def shingle_codes(text: str | None, n: int) -> bytes:
     return np.unique(np.array(h, "<u4")).tobytes()
 
 
-def _close(nodes: DataFrame) -> DataFrame:
-    """Candidate links (a, b) of nodes (id, f) within BITS_APART bits: all pairs of short lists; members of longer ones with the first.
+def _close(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidate links (a, b) of nodes (id, fs) that are near under one of their fingerprints, and what is left of long lists.
 
-    Longer lists are also dealt again under more bytes, so most of their pairs meet in a short list.
+    All pairs of lists of at most STAR members that lie within BITS_APART bits are candidates; longer lists are dealt again under
+    more bytes. The members (at, n, id, hubs) of those that are still long under five bytes come second; they have their links to HUBS
+    members among the candidates. Lists of the same members count once.
     """
     masks = F.explode(F.array(*[F.lit(_signed(m)) for m in TRIPLES]))
-    postings = nodes.select("id", "f", masks.alias("mask")).withColumn("part", F.expr("f & mask"))
+    at = F.xxhash64("k", "mask", F.expr("f & mask")).alias("at")
+    postings = nodes.select("id", F.posexplode("fs").alias("k", "f")).select("id", "k", "f", masks.alias("mask")).select("id", "k", "f", "mask", at)
     near = F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= BITS_APART
     found = None
-    for _ in range(3):
-        lists = postings.groupBy("mask", "part").agg(F.count("*").alias("n"), F.min(F.struct("id", "f")).alias("first")).filter("n > 1")
-        lists = scratch.materialize(lists, "lists")
-        listed = postings.join(lists, ["mask", "part"])
-        stars = listed.filter((F.col("n") > STAR) & (F.col("id") != F.col("first.id"))).select(F.col("id").alias("a"), F.col("first.id").alias("b"), "f", F.col("first.f").alias("g"))
-        short = listed.filter(F.col("n") <= STAR).select("mask", "part", "id", "f")
-        pairs = short.select("mask", "part", F.col("id").alias("a"), "f").join(short.select("mask", "part", F.col("id").alias("b"), F.col("f").alias("g")), ["mask", "part"])
-        both = pairs.filter("a > b").select("a", "b", "f", "g").unionByName(stars).filter(near).select("a", "b")  # a > b: the first of a list is its smallest
+    for level in range(3):  # under three, four and five bytes
+        if level:
+            postings = scratch.materialize(wider.distinct().select("id", "k", "f", "mask", at), "postings")
+        lists = scratch.materialize(postings.groupBy("at").agg(F.count("*").alias("n")).filter("n > 1"), "lists")
+        bits = bloom.bits_for(lists.count())
+        marked = bloom.probe(postings, bloom.of_keys(lists, F.col("at"), bits), F.col("at"), bits, "listed").filter("listed").drop("listed")
+        listed = scratch.materialize(skew.join_groups(marked, lists, "at", "n", marked.count()), "listed")
+        short = listed.filter(F.col("n") <= STAR)
+        pairs = short.select("at", F.col("id").alias("a"), "f").join(short.select("at", F.col("id").alias("b"), F.col("f").alias("g")), "at")
+        both = pairs.filter("a > b").filter(near).select("a", "b")
         found = both if found is None else found.unionByName(both)
-        long = scratch.materialize(listed.filter(F.col("n") > STAR).select("id", "f", "mask"), "long")
-        if long.isEmpty():
-            break
+        rest = listed.filter(F.col("n") > STAR)
         more = F.explode(F.array(*[F.lit(_signed(0xFF << (8 * i))) for i in range(8)]))
-        wider = long.select("id", "f", "mask", more.alias("byte")).filter("(mask & byte) = 0").select("id", "f", F.expr("mask | byte").alias("mask"))
-        postings = scratch.materialize(wider.distinct().withColumn("part", F.expr("f & mask")), "postings")
-    return found.distinct()
+        wider = rest.select("id", "k", "f", "mask", more.alias("byte")).filter("(mask & byte) = 0").select("id", "k", "f", F.expr("mask | byte").alias("mask"))
+        if rest.isEmpty():
+            break
+    hubs = F.array_distinct(F.array(*[F.min_by("id", F.xxhash64("id", F.lit(i))) for i in range(HUBS)]))
+    same = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(HUBS))).alias("y")]
+    lists = rest.groupBy("at").agg(*same, hubs.alias("hubs")).groupBy("n", "x", "y").agg(F.min(F.struct("at", "hubs")).alias("one"))
+    lists = lists.select("one.at", "n", "one.hubs")
+    members = scratch.materialize(skew.join_groups(rest.select("at", "id"), lists, "at", "n", rest.count()), "members")
+    stars = members.select(F.col("id").alias("a"), F.explode("hubs").alias("b")).filter("a <> b")
+    return found.unionByName(stars).distinct(), members
+
+
+def _across(members: DataFrame, roots: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """The links that reach the similarity between members of a long list in different components (roots: node, root).
+
+    Members outside a list's largest component meet all members, in blocks of about BLOCK by BLOCK: the shingles shuffle once a block.
+    """
+    rooted = members.select("at", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rooted = scratch.materialize(rooted, "rooted")
+    parts = rooted.groupBy("at", "root").agg(F.count("*").alias("c"))
+    mixed = parts.groupBy("at").agg(F.count("*").alias("parts"), F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("main")).filter("parts > 1")
+    mixed = mixed.select("at", "n", F.col("main.root").alias("main"), F.expr(f"ceil((n - main.c) / {BLOCK})").alias("rows"), F.expr(f"ceil(n / {BLOCK})").alias("columns"))
+    m = scratch.materialize(skew.join_groups(rooted, mixed, "at", "n", rooted.count()), "mixed")
+    row, column = F.expr("pmod(xxhash64(id), rows)"), F.expr("pmod(xxhash64(id), columns)")
+    few = m.filter("root <> main").select("at", "id", "root", row.alias("p"), F.explode(F.expr("sequence(0L, columns - 1)")).alias("q"), F.lit(True).alias("few"))
+    all_ = m.select("at", "id", "root", F.explode(F.expr("sequence(0L, rows - 1)")).alias("p"), column.alias("q"), F.lit(False).alias("few"))
+    held = _held(nodes, m.select("id").distinct())
+    dealt = few.unionByName(all_).select("id", "root", "few", F.xxhash64("at", "p", "q").alias("block")).join(held, "id")
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        few, every = block[block["few"]], block[~block["few"]]
+        x, y = ([np.frombuffer(c, "<u4") for c in side["codes"]] for side in (few, every))
+        codes = np.unique(np.concatenate([np.zeros(0, "<u4"), *x, *y]))
+        shared = np.zeros((len(x), len(y)), np.float32)
+        for lo in range(0, len(codes), 4096):  # a slice of the codes at a time, so memory is bounded
+            part = codes[lo : lo + 4096]
+            on = []
+            for sets in (x, y):
+                held = np.zeros((len(sets), len(part)), np.float32)
+                for i, c in enumerate(sets):
+                    held[i, np.searchsorted(part, c[np.searchsorted(c, part[0]) : np.searchsorted(c, part[-1], "right")])] = 1
+                on.append(held)
+            shared += on[0] @ on[1].T
+        sizes = np.add.outer(np.array([len(c) for c in x], float), np.array([len(c) for c in y], float))
+        good = (shared >= threshold * (sizes - shared)) & (few["root"].to_numpy()[:, None] != every["root"].to_numpy()[None, :])
+        i, j = np.nonzero(good)
+        return pd.DataFrame({"a": few["id"].to_numpy()[i], "b": every["id"].to_numpy()[j]})
+
+    return dealt.groupBy("block").applyInPandas(run, "a long, b long")
+
+
+def _held(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and codes of the nodes that are perhaps among ``ids``."""
+    ids = scratch.materialize(ids, "ends")
+    bits = bloom.bits_for(ids.count())
+    marked = bloom.probe(nodes.select("id", "codes"), bloom.of_keys(ids, F.col("id"), bits), F.col("id"), bits, "linked")
+    return marked.filter("linked").drop("linked")
 
 
 def _similar(links: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """The links whose nodes (id, codes) reach the Jaccard similarity."""
-    ends = scratch.materialize(links.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ends")
-    bits = bloom.bits_for(ends.count())
-    marked = bloom.probe(nodes.select("id", "codes"), bloom.of_keys(ends, F.col("id"), bits), F.col("id"), bits, "linked")
-    held = marked.filter("linked").drop("linked")
-    both = links.join(held.select(F.col("id").alias("a"), F.col("codes").alias("x")), "a").join(held.select(F.col("id").alias("b"), F.col("codes").alias("y")), "b")
+    held = _held(nodes, links.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    hubs = links.groupBy("b").agg(F.count("*").alias("n")).join(held.select(F.col("id").alias("b"), F.col("codes").alias("y")), "b")
+    both = skew.join_groups(links.join(held.select(F.col("id").alias("a"), F.col("codes").alias("x")), "a"), hubs, "b", "n", links.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -229,9 +287,10 @@ def _similar(links: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
 def group_similar(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
     """doc_id, row_hash, uid, component_id and best, for copies at ``threshold`` Jaccard similarity of their ``n``-word shingles.
 
-    Such copies differ in more than three bits of one fingerprint, so each document has SKETCHES of them, taken one after the
-    other: candidates within three bits are verified on their shingles, and what links to a smaller node does not go on to the next.
-    Every link is verified; a pair is missed only if it is close under none of the fingerprints.
+    Such copies differ in more than three bits of one fingerprint, so each document has SKETCHES of them, and every document is
+    compared under all: candidates within three bits are verified on their shingles, and lists that stay long are linked through
+    HUBS members and then compared across the components that these leave. Every link is verified, and a pair within three bits
+    under any fingerprint whose shingles reach the threshold is always in one component; pairs that are close under none are missed.
     """
     kinds = [T.StructField("fs", T.ArrayType(T.LongType())), T.StructField("codes", T.BinaryType())]
     rows = docs.select("doc_id", "text", skew.row_hash(docs).alias("row_hash"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("id"))
@@ -240,20 +299,13 @@ def group_similar(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFr
     rows = scratch.materialize(rows, "similar")
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
     nodes = scratch.materialize(rows.groupBy("id").agg(F.count("*").alias("copies"), F.min(first).alias("first"), F.first("fs").alias("fs"), F.first("codes").alias("codes")), "nodes")
-    alive, merged = nodes, None
-    for k in range(SKETCHES):
-        links = scratch.materialize(_close(alive.select("id", F.col("fs")[k].alias("f"))), "close")
-        if links.isEmpty():
-            continue
-        verified = scratch.materialize(_similar(links, alive, threshold), "verified")
-        merged = verified if merged is None else merged.unionByName(verified)
-        alive = alive.join(verified.select(F.col("a").alias("id")).distinct(), "id", "left_anti")
+    close, members = _close(nodes.select("id", "fs"))
+    merged = scratch.materialize(_similar(scratch.materialize(close, "close"), nodes, threshold), "verified")
+    final = components.components(merged, "a", "b")
+    if not members.isEmpty():
+        final = components.components(merged.unionByName(_across(members, final, nodes, threshold)), "a", "b")
     slim = nodes.select("id", "copies", "first")
-    if merged is None:
-        rooted = slim.withColumn("root", F.col("id"))
-    else:
-        final = components.components(merged, "a", "b")
-        rooted = slim.join(final.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rooted = slim.join(final.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     rooted = scratch.materialize(rooted, "rooted")
     best = rooted.groupBy("root").agg(F.min("first").alias("best"))
     classes = rooted.select("id", "copies", "root").join(best, "root").select("id", "copies", "best")
