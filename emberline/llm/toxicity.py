@@ -29,7 +29,7 @@ from emberline.llm import texts
 
 BITS = 20
 #: Rows that the model is fitted on at most, about.
-MOST_LABELLED = 8_000
+MOST_LABELLED = 12_000
 GAPS = (1, 2, 3)
 RATE, BETA, L1, L2, EPOCHS = 1.0, 1.0, 8.0, 0.0, 3
 #: Documents that must hold a feature before it is learnt; rarer ones would only memorise their documents.
@@ -50,7 +50,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, least: int = LEAST) -> tuple
     seen = np.zeros(1 << BITS, np.int64)
     for r in rows:
         seen[r] += 1
-    rows = [r[seen[r] >= least] for r in rows]
+    rows = [np.append(r[seen[r] >= least], np.int32(bias_at)) for r in rows]
     z, n = np.zeros(bias_at + 1), np.zeros(bias_at + 1)
 
     def weights(at):
@@ -58,7 +58,6 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, least: int = LEAST) -> tuple
         l1 = np.where(at == bias_at, 0.0, L1)
         return np.where(np.abs(zi) <= l1, 0.0, -(zi - np.sign(zi) * l1) / ((BETA + np.sqrt(ni)) / RATE + L2))
 
-    rows = [np.append(r, np.int32(bias_at)) for r in rows]
     for _ in range(EPOCHS):
         for at, y in zip(rows, labels):
             w = weights(at)

@@ -104,3 +104,7 @@ def test_cumulative_link_orders_thresholds():
     w, theta = quality.fit([(np.array([3]), np.array([v])) for v in x], grades, 2)
     assert theta[0] < theta[1] and w[3] > 1
     assert abs(theta[0] / w[3] + 0.5) < 0.3 and abs(theta[1] / w[3] - 0.7) < 0.3
+
+
+def test_toxicity_sample_is_not_lowered():
+    assert toxicity.MOST_LABELLED >= 12_000
