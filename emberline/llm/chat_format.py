@@ -3,7 +3,7 @@
 Grammar: a conversation is its turns in order, and a turn is ``### role:\\n text \\n</turn>\\n``. A text is
 free of bare control strings (``###`` and ``</turn>``); one that would hold them has a backslash put before
 each. The parser is deterministic: split at ``\\n</turn>\\n``, cut at the first ``:\\n``, take one backslash
-off in front of every control string.
+off in front of every control string. A control string without a backslash in a text is a conflict, and the text is null.
 
 Each turn is first rendered as it is and parsed again; if the parser does not give back exactly the role and
 the text, the conflicting content is escaped and the turn is parsed once more. The whole conversation is
@@ -56,9 +56,11 @@ def _render(role: Column, body: Column) -> Column:
 def _cut(part: Column) -> Column:
     """Role and text of a turn without its end."""
     at = F.position(F.lit(":\n"), part)
+    body = F.substr(part, at + 2)
+    bare = F.regexp_like(F.regexp_replace(body, rf"\\+({CONTROL})", " "), F.lit(CONTROL))
     return F.struct(
         _unescape_role(F.substr(part, F.lit(5), at - 5)).alias("role"),
-        unescape(F.substr(part, at + 2)).alias("text"),
+        F.when(~bare, unescape(body)).alias("text"),
     )
 
 
