@@ -215,43 +215,50 @@ def verify(near: np.ndarray, first: np.ndarray, width: int, threshold: float) ->
     return begin, end, np.where(good.any(axis=1), np.where(good, similar, 0.0).max(axis=1), 0.0)
 
 
-def _groups(posted: DataFrame) -> DataFrame:
-    """at, n and the first window (doc_id, uid, wid) of each key that two documents share."""
+def _members(posted: DataFrame) -> DataFrame:
+    """``posted`` (wid, uid, doc_id, at) in groups that two documents share, with their size n and first window."""
     first = F.min(F.struct("doc_id", "uid", "wid"))
-    return posted.groupBy("at").agg(F.count("*").alias("n"), first.alias("first"), (F.min("uid") != F.max("uid")).alias("shared")).filter("shared").drop("shared")
+    groups = posted.groupBy("at").agg(F.count("*").alias("n"), first.alias("first"), (F.min("uid") != F.max("uid")).alias("shared"))
+    return skew.join_groups(posted, groups.filter("shared").drop("shared"), "at", "n", posted.count())
 
 
-def _members(posted: DataFrame) -> DataFrame:
-    """``posted`` (wid, uid, doc_id, at) in groups that two documents share, with the first of each group."""
-    return skew.join_groups(posted, _groups(posted), "at", "n", posted.count())
+def _pairs(members: DataFrame) -> DataFrame:
+    """Each window once with each first that it has, and those of its groups that others are in too."""
+    both = members.filter(F.col("uid") != F.col("first.uid")).select("wid", "uid", "doc_id", F.col("first.wid").alias("first_wid"), F.col("first.doc_id").alias("match_doc_id"), "at", "n")
+    ats = F.collect_list(F.when(F.col("n") > 2, F.col("at"))).alias("ats")
+    return both.groupBy("wid", "first_wid").agg(*[F.first(x).alias(x) for x in ("uid", "doc_id", "match_doc_id")], ats)
 
 
-def _pairs(members: DataFrame) -> DataFrame:
-    """Each window once with each first that it has, and the groups in which it has it."""
-    both = members.filter(F.col("uid") != F.col("first.uid")).select("wid", "uid", "doc_id", F.col("first.wid").alias("first_wid"), F.col("first.doc_id").alias("match_doc_id"), "at")
-    return both.groupBy("wid", "first_wid").agg(*[F.first(x).alias(x) for x in ("uid", "doc_id", "match_doc_id")], F.collect_list("at").alias("ats"))
+def _of(near: DataFrame, wids: DataFrame) -> DataFrame:
+    """The rows of ``near`` whose wid is perhaps among ``wids``, by a filter, so that the others do not shuffle."""
+    wids = scratch.materialize(wids.distinct(), "wids")
+    bits = bloom.bits_for(wids.count())
+    return bloom.probe(near, bloom.of_keys(wids, F.col("wid"), bits), F.col("wid"), bits, "wanted").filter("wanted").drop("wanted")
 
 
 def _verified(pairs: DataFrame, near: DataFrame, n: int, width: int, threshold: float) -> DataFrame:
-    """uid, doc_id, match_doc_id, first_word, end_word, similarity (0: no match) and ats of the pairs."""
+    """wid, uid, doc_id, match_doc_id, first_word, end_word, similarity (0: no match) and ats of the pairs."""
     side = width - 1
-    firsts = pairs.groupBy("first_wid").agg(F.count("*").alias("n")).join(near.select(F.col("wid").alias("first_wid"), F.col("near").alias("near2")), "first_wid")
-    own = pairs.join(near.select("wid", "uid", "place", "near"), ["wid", "uid"]).select("uid", "doc_id", "match_doc_id", "place", "near", "first_wid", "ats")
-    both = skew.join_groups(own, firsts, "first_wid", "n", pairs.count()).select("uid", "doc_id", "match_doc_id", "place", "near", "near2", "ats")
+    near = near.select("wid", "uid", "place", "near")
+    twin = near.select(F.col("wid").alias("first_wid"), F.col("near").alias("near2"))
+    firsts = pairs.groupBy("first_wid").agg(F.count("*").alias("n")).join(twin, "first_wid")
+    own = pairs.join(near.withColumnRenamed("uid", "own_uid"), "wid").filter("uid = own_uid")
+    columns = ["wid", "uid", "doc_id", "match_doc_id", "place", "near", "near2", "ats"]
+    both = skew.join_groups(own.select(*columns[:6], "first_wid", "ats"), firsts, "first_wid", "n", pairs.count()).select(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 2048):
                 b = whole.slice(lo, 2048)
-                mine, first = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<u2").reshape(b.num_rows, -1) for k in (4, 5))
+                mine, first = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<u2").reshape(b.num_rows, -1) for k in (5, 6))
                 begin, end, similar = verify(mine, first, width, threshold)
-                c = np.array(b.column(3)) // HASHES
+                c = np.array(b.column(4)) // HASHES
                 yield pa.RecordBatch.from_arrays(
-                    [*(b.column(k) for k in range(3)), pa.array(c + begin - side, pa.int32()), pa.array(c + end - side + n - 1, pa.int32()), pa.array(similar), b.column(6)],
-                    names=["uid", "doc_id", "match_doc_id", "first_word", "end_word", "similarity", "ats"],
+                    [*(b.column(k) for k in range(4)), pa.array(c + begin - side, pa.int32()), pa.array(c + end - side + n - 1, pa.int32()), pa.array(similar), b.column(7)],
+                    names=["wid", "uid", "doc_id", "match_doc_id", "first_word", "end_word", "similarity", "ats"],
                 )
 
-    return both.mapInArrow(run, "uid long, doc_id long, match_doc_id long, first_word int, end_word int, similarity double, ats array<long>")
+    return both.mapInArrow(run, "wid long, uid long, doc_id long, match_doc_id long, first_word int, end_word int, similarity double, ats array<long>")
 
 
 def _posted(windows: DataFrame, *keys: str) -> DataFrame:
@@ -287,39 +294,57 @@ def _two_blocks(width: int):
 
 
 def _dealt_again(runs: DataFrame, members: DataFrame, near: DataFrame, width: int) -> DataFrame:
-    """The pairs of all members of groups in which a member failed, by whole runs and by two blocks."""
-    failed = runs.filter("similarity = 0").select(F.explode("ats").alias("at")).distinct()
-    sizes = members.groupBy("at").agg(F.count("*").alias("n"))
-    again = skew.join_groups(members.select("wid", "uid", "doc_id", "at"), failed.join(sizes, "at"), "at", "n", members.count())
-    again = scratch.materialize(again.select("wid", "uid", "doc_id").distinct().join(near, ["wid", "uid"]), "again")
+    """The pairs, by whole runs and by two blocks, of windows that failed in a group with any member of it.
+
+    Members that matched are dealt under the keys of those that failed only; a group of two has nothing left to compare.
+    """
+    failed = runs.filter("similarity = 0 AND size(ats) > 0")
+    bad = failed.select(F.explode("ats").alias("at")).distinct().join(members.groupBy("at").agg(F.count("*").alias("n")), "at")
+    again = skew.join_groups(members.select("wid", "uid", "doc_id", "at"), bad, "at", "n", members.count())
+    again = again.select("wid", "uid", "doc_id").distinct().join(failed.select("wid", F.lit(True).alias("failed")).distinct(), "wid", "left")
+    again = scratch.materialize(again, "again")
+    near = _of(near, again.select("wid")).select("wid", F.col("uid").alias("own_uid"), "place", "left", "right", "near")
+    again = scratch.materialize(again.join(near, "wid").filter("uid = own_uid").drop("own_uid"), "again")
     # one function is enough for equal passages, as every run of shingles has one smallest place under each
     one = again.filter(F.col("place") % HASHES == 0)
-    halves = _members(_posted(one, "left", "right")).select("wid", "uid").distinct()
-    whole = one.join(halves, ["wid", "uid"]).select("wid", "uid", "doc_id", F.explode(_whole_runs(width)).alias("at"))
-    blocks = again.select("wid", "uid", "doc_id", F.explode(_two_blocks(width)).alias("at"))
-    return _pairs(_members(scratch.materialize(whole.unionByName(blocks), "dealt")))
+    halves = _members(_posted(one, "left", "right")).select("wid").distinct()
+    whole = one.join(halves, "wid").select("wid", "uid", "doc_id", "failed", F.explode(_whole_runs(width)).alias("at"))
+    blocks = again.select("wid", "uid", "doc_id", "failed", F.explode(_two_blocks(width)).alias("at"))
+    both = whole.unionByName(blocks)
+    mine = scratch.materialize(both.filter("failed").drop("failed"), "failed")
+    bits = bloom.bits_for(mine.count())
+    others = bloom.probe(both.filter("failed IS NULL").drop("failed"), bloom.of_keys(mine, F.col("at"), bits), F.col("at"), bits, "wanted")
+    return _pairs(_members(scratch.materialize(mine.unionByName(others.filter("wanted").drop("wanted")), "dealt")))
 
 
 def passages(docs: DataFrame, n: int = 5, width: int = 46, threshold: float = 0.8, max_bits: int = bloom.MAX_BITS) -> DataFrame:
     """doc_id, match_doc_id, first_word, end_word and similarity for passages of ``width`` + ``n`` - 1 words or more."""
-    with scratch.Scope(docs.sparkSession) as scope:
-        whole = exact_dedup.decide(docs.select("doc_id", "text")).select("doc_id", "row_hash", "kept", "keep_id")
-        decisions = scope.keep(scratch.materialize(whole, "copies"))
+    spark = docs.sparkSession
+    table = scratch.materialize
+
+    def held(keys: DataFrame, key: str) -> tuple[bytearray, int]:
+        keys = table(keys, "keys")
+        bits = bloom.bits_for(keys.count(), most=max_bits)
+        return bloom.keys_as_bytes(keys, F.col(key), bits), bits
+
+    with scratch.Scope(spark) as all_:
+        with scratch.Scope(spark) as scope:
+            whole = exact_dedup.decide(docs.select("doc_id", "text")).select("doc_id", "row_hash", "kept", "keep_id")
+            decisions = scope.keep(all_.keep(table(whole, "copies")))
         single = skew.keep_rows(docs.select("doc_id", "text"), decisions.select("doc_id", "row_hash", "kept"))
         single = single.withColumn("uid", F.xxhash64("doc_id", "text"))  # each text once, so no copy of the texts is written
-
-        def held(keys: DataFrame, key: str) -> tuple[bytearray, int]:
-            bits = bloom.bits_for(keys.count(), most=max_bits)
-            return bloom.keys_as_bytes(keys, F.col(key), bits), bits
-
-        keys = _keys(single, n, width).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-        found = scratch.materialize(_postings(single, n, width, *held(scratch.materialize(keys, "keys"), "key")), "postings")
-        members = scratch.materialize(_members(_posted(found, "left", "right")), "members")
-        near = scratch.materialize(_near(single, n, width, *held(scratch.materialize(members.select("wid").distinct(), "wids"), "wid")), "near")
-        first = scope.keep(scratch.materialize(_verified(scratch.materialize(_pairs(members), "pairs"), near, n, width, threshold), "runs"))
-        pairs = scratch.materialize(_dealt_again(first, members, near, width), "pairs")
-        second = scope.keep(scratch.materialize(_verified(pairs, near, n, width, threshold), "runs"))
-    runs = first.unionByName(second).filter("similarity > 0").drop("ats")
+        with scratch.Scope(spark) as scope:
+            keys = _keys(single, n, width).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+            found = table(_postings(single, n, width, *held(keys, "key")), "postings")
+            members = scope.keep(table(_members(_posted(found, "left", "right")), "members"))
+        near = table(_near(single, n, width, *held(members.select("wid").distinct(), "wid")), "near")
+        with scratch.Scope(spark) as scope:
+            first = scope.keep(all_.keep(table(_verified(table(_pairs(members), "pairs"), near, n, width, threshold), "runs")))
+        with scratch.Scope(spark) as scope:
+            pairs = scope.keep(table(_dealt_again(first, members, near, width), "pairs"))
+        some = _of(near, pairs.select(F.explode(F.array("wid", "first_wid")).alias("wid")))
+        second = all_.keep(table(_verified(pairs, some, n, width, threshold), "runs"))
+    runs = first.unionByName(second).filter("similarity > 0").drop("wid", "ats")
 
     by = Window.partitionBy("uid", "match_doc_id").orderBy("first_word", "end_word")
     reach = F.max("end_word").over(by.rowsBetween(Window.unboundedPreceding, -1))
