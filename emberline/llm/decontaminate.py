@@ -25,7 +25,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from emberline.llm import texts
 
@@ -140,10 +139,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, thresho
     for rows in _blocks(benchmark):
         sent, held = docs.sparkSession.sparkContext.broadcast(rows), {}
 
-        def of_texts(batch: list[str | None], sent=sent, held=held) -> list:
+        def of_texts(batch: list[str | None], sent=sent, held=held) -> list[bool]:
             if not held:
                 held["items"] = Items(sent.value, n, threshold)
-            return [[bool(held["items"].inside(t)) for t in batch]]
+            return [not held["items"].inside(t) for t in batch]
 
-        out = texts.add_columns(out, [T.StructField("__leak", T.BooleanType())], of_texts).filter(~F.col("__leak")).select(docs.columns)
+        out = texts.filter_rows(out, of_texts)
     return out

@@ -31,7 +31,7 @@ def _digests(docs: DataFrame) -> DataFrame:
         F.char_length(text).alias("n_points"),
         F.sha2(packed, 256).alias("text_sha256"),
         F.xxhash64(packed).alias("h"),
-        F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_hash"),
+        skew.row_hash(docs).alias("row_hash"),
         F.monotonically_increasing_id().alias("uid"),
     )
 

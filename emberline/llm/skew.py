@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberline.llm import bloom, scratch
 
@@ -11,8 +12,8 @@ from emberline.llm import bloom, scratch
 HOT_SHARE = 1000
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
-    """``rows`` joined with the one row of ``groups`` that has their ``key``.
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left) with the one row of ``groups`` that has their ``key``.
 
     ``size`` counts a group's rows among ``total``. Hot groups, fewer than HOT_SHARE by arithmetic, are
     broadcast, so their rows stay where they are; the rest shuffles by key and no key of it is large.
@@ -26,38 +27,46 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     here = tried.filter("__g IS NOT NULL").select(*rows.columns, *[F.col(f"__g.{c}").alias(c) for c in rest])
     cold = groups.filter(F.col(size) <= least).withColumnRenamed(key, "__k")
     away = tried.filter("__g IS NULL").drop("__k", "__g")
-    joined = away.join(cold, F.col(key).eqNullSafe(F.col("__k"))).drop("__k")
+    joined = away.join(cold, F.col(key).eqNullSafe(F.col("__k")), how).drop("__k")
     return here.unionByName(joined.select(*here.columns))
 
 
-def row_hash(df: DataFrame):
-    """One number for the content of a row, over all its columns."""
-    return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+def quoted(name: str) -> str:
+    """A column's name as SQL reads it, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType) or isinstance(kind, T.ArrayType) and _has_map(kind.elementType)
+
+
+def row_hash(df: DataFrame) -> Column:
+    """One number for the content of a row, over all its columns. Maps, which have no hash, count as JSON."""
+    of = lambda f: F.to_json(F.struct(F.col(quoted(f.name)).alias("x"))) if _has_map(f.dataType) else F.col(quoted(f.name))
+    return F.xxhash64(*map(of, df.schema.fields))
 
 
 def keep_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``decisions(doc_id, row_hash, kept)`` keeps.
 
     A Bloom filter of the identities that lose a row lets every other document pass without a shuffle.
-    Rows that are identical in all columns are interchangeable: as many of them stay as are kept.
+    Rows that are identical in all columns are interchangeable: as many of them stay as are kept. The columns travel
+    inside a struct, so no name of theirs meets one that is used here.
     """
-    ident = F.xxhash64("doc_id", "__h")
     lost = scratch.materialize(
-        decisions.withColumnRenamed("row_hash", "__h")
-        .groupBy("doc_id", "__h")
-        .agg(F.count_if("kept").alias("__n"), F.count_if(~F.col("kept")).alias("__lost"))
-        .filter("__lost > 0")
-        .select(F.col("doc_id").alias("__d"), "__h", "__n", ident.alias("__i")),
+        decisions.groupBy(F.xxhash64("doc_id", "row_hash").alias("i"))
+        .agg(F.count_if("kept").alias("n"), F.count("*").alias("size"))
+        .filter("n < size"),
         "lost",
     )
     bits = bloom.bits_for(lost.count())
-    hashed = docs.withColumn("__h", row_hash(docs))
-    marked = bloom.probe(hashed, bloom.of_keys(lost, F.col("__i"), bits), ident, bits, "__perhaps")
-    clean = marked.filter(~F.col("__perhaps")).select(docs.columns)
-    lost = lost.withColumnRenamed("__h", "__hl")
-    tried = marked.filter("__perhaps").join(
-        lost, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__hl")), "left"
-    )
-    free = tried.filter("__hl IS NULL").select(docs.columns)
-    twins = tried.filter("__n > 0").select(docs.columns).dropDuplicates()  # identical rows, of which one was kept
-    return clean.unionByName(free).unionByName(twins)
+    row = F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row")
+    packed = docs.select(row, F.xxhash64("doc_id", row_hash(docs)).alias("i"))
+    marked = bloom.probe(packed, bloom.of_keys(lost, F.col("i"), bits), F.col("i"), bits, "perhaps")
+    tried = join_groups(marked.filter("perhaps").drop("perhaps"), lost, "i", "size", lost.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], "left")
+    free = tried.filter("n IS NULL").select("row")
+    twins = tried.filter("n > 0").groupBy("i").agg(F.first("row").alias("row"), F.first("n").alias("n"))  # identical rows, some of them kept
+    twins = twins.select(F.explode(F.expr("array_repeat(row, CAST(n AS INT))")).alias("row"))
+    return marked.filter(~F.col("perhaps")).select("row").unionByName(free).unionByName(twins).select("row.*")

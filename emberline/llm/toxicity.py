@@ -10,7 +10,8 @@ online learner is sequential, so this sample is seen by one task, features ready
 document is then scored over its whole text where it lies, without a shuffle.
 
 A null or empty text has the score of the bias alone. Labels with null doc_id or null label are not used;
-with no label left nothing is known to be toxic and every score is 0. Repeated rows score alike. An empty
+with no label left nothing is known to be toxic and every score is 0. Of several labels of a doc_id the largest counts, and
+of several texts one, so that repeated rows do not lengthen the sample. Repeated rows score alike. An empty
 table gives an empty result; other columns are kept by ``drop_toxic`` and ignored by ``score``.
 """
 
@@ -73,7 +74,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, least: int = LEAST) -> tuple
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_LABELLED, least: int = LEAST) -> dict | None:
     """Fit on ``labels(doc_id, label)`` and the texts of ``docs``; None without labels."""
-    known = texts.bounded_sample(labels.select("doc_id", F.col(label).cast("double").alias("__y")).dropna(), "doc_id", most, "toxicity")
+    known = labels.select("doc_id", F.col(label).cast("double").alias("__y")).dropna().groupBy("doc_id").agg(F.max("__y").alias("__y"))
+    known = texts.bounded_sample(known, "doc_id", most, "toxicity")
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # about `most` small rows at most
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -95,6 +97,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
             yield pa.RecordBatch.from_arrays([pa.array([at.astype(np.int32)]), pa.array([w]), pa.array([bias])], names=["feature", "weight", "bias"])
 
     made = rows.mapInPandas(make, "doc_id long, y double, x array<int>")
+    made = made.groupBy("doc_id").agg(F.max("y").alias("y"), F.min("x").alias("x"))  # a repeated doc_id counts once
     model = made.repartition(1).sortWithinPartitions("doc_id", "y").mapInArrow(learn, "feature array<int>, weight array<double>, bias double").collect()
     return model[0].asDict() if model else None
 
@@ -142,4 +145,5 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
     """The documents with a score below ``limit``, with all their columns."""
     model = train(docs, learnable(labels))
-    return add_score(docs, model, "__score").filter(F.col("__score") < limit).select(docs.columns)
+    of_texts = _scorer(docs, model)
+    return texts.filter_rows(docs, lambda batch: [s < limit for s in of_texts(batch)[0]])
