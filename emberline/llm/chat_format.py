@@ -115,10 +115,14 @@ def format_conversations(turns: DataFrame, loss_roles: tuple[str, ...] = ("assis
     )
 
 
-def digests(formatted: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """What can be read back from the formatted text alone: hashes of the turns and of the text under the loss mask."""
-    read = formatted.select("conv_id", "formatted", parse(F.col("formatted")).alias("t"))
-    loss = read.withColumn("loss", F.array_join(F.transform(F.filter("t", lambda t: t["role"].isin(*loss_roles)), lambda t: t["text"]), ""))
+def digests(formatted: DataFrame) -> DataFrame:
+    """What can be read back from the formatted text and its spans: hashes of the turns and of the text under the loss mask.
+
+    The text is cut in an encoding of four bytes a code point, so that a cut does not walk over what lies before it.
+    """
+    read = formatted.select("conv_id", "formatted", parse(F.col("formatted")).alias("t"), F.encode("formatted", "UTF-32").alias("wide"), "loss_spans")
+    cut = lambda s: unescape(F.decode(F.substr("wide", 4 * s["first"].cast("int") + 1, 4 * (s["end"] - s["first"]).cast("int")), "UTF-32"))
+    loss = read.withColumn("loss", F.array_join(F.transform("loss_spans", cut), ""))
     said = F.transform("t", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
     return loss.select(
         "conv_id",
