@@ -2,7 +2,7 @@
 
 Each step replaces links by links to smaller numbers without losing connectivity; when a round changes
 nothing, every node is linked to the smallest of its component. Only links are moved, a group never meets
-in one task: the minimum of a node's neighbours is combined before the shuffle, and a round's links are written
+in one task: the minimum of a node's neighbours is combined before the shuffle and sent to the links of a hub, and a round's links are written
 to the shared folder, so that the lineage of a round is one round.
 """
 
@@ -11,20 +11,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm import scratch
+from emberline.llm import scratch, skew
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _with_least(links: DataFrame, total: int) -> DataFrame:
+    """a, b, and m, the smallest neighbour of a. The hubs, fewer than HOT_SHARE by their counts, are broadcast."""
+    least = links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    limit = max(1, total // skew.HOT_SHARE)
+    hubs = F.broadcast(least.filter(F.col("n") > limit).select(F.col("a").alias("hub"), F.col("m").alias("hub_m")))
+    tried = links.join(hubs, F.col("a") == F.col("hub"), "left")
+    here = tried.filter("hub IS NOT NULL").select("a", "b", F.col("hub_m").alias("m"))
+    away = tried.filter("hub IS NULL").select("a", "b").join(least.filter(F.col("n") <= limit).select("a", "m"), "a")
+    return here.unionByName(away)
+
+
+def _large_star(links: DataFrame, total: int) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return _with_least(both, 2 * total).filter("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, total: int) -> DataFrame:
     """``links`` with a > b: each a and its smaller neighbours go to the smallest of them."""
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
-    moved = links.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b")
+    least = _with_least(links, total)
+    moved = least.select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.unionByName(links.groupBy("a").agg(F.min("b").alias("b"))).filter("a <> b")
 
 
 def _state(links: DataFrame):
@@ -37,7 +47,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     now = scratch.materialize(now, "links")
     state = _state(now)
     while True:
-        now = scratch.materialize(_small_star(_large_star(now).distinct()).distinct(), "links")
+        starred = _large_star(now, state[0]).distinct()
+        now = scratch.materialize(_small_star(starred, state[0]).distinct(), "links")
         before, state = state, _state(now)
         if state == before:
             break
