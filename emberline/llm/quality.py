@@ -10,7 +10,8 @@ The model is fitted on at most about ``most`` rated rows (a documented bound, by
 document is then scored over its whole text where it lies, without a shuffle.
 
 A null or empty text has no features: its score is that of the thresholds. Ratings with a null doc_id or grade are not
-used; without ratings every document gets grade 0 with certainty. Repeated rows score alike. An empty table
+used; without ratings every document gets grade 0 with certainty. Of several ratings of a doc_id the largest counts, and of
+several texts one. Repeated rows score alike. An empty table
 gives an empty result; other columns are ignored.
 """
 
@@ -36,18 +37,20 @@ RATE, RIDGE, EPOCHS, LEAST = 0.5, 1e-5, 8, 4
 
 def shape(token: str) -> str:
     """Kinds of signs of a token, runs collapsed: ``Word,`` is ``Aa,`` and ``WORD!!`` is ``A!``."""
-    kinds = ("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in token[:200])
+    kinds = ("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in token)
     return "".join(k for k, _ in groupby(kinds))
 
 
 class Tokens(dict):
-    """Token -> codes of its word and of its shape, remembered for the tokens seen lately."""
+    """Token -> codes of its word and of its shape, remembered for the tokens seen lately, but for very long ones."""
 
     def __missing__(self, token: str) -> tuple[int, int]:
         if len(self) >= texts.CACHE:
             self.clear()
         word = "".join(c for c in token.lower() if c.isalnum())
-        found = self[token] = crc32(word.encode("utf-8", "surrogatepass")), crc32(shape(token).encode("utf-8", "surrogatepass"))
+        found = crc32(word.encode("utf-8", "surrogatepass")), crc32(shape(token).encode("utf-8", "surrogatepass"))
+        if len(token) <= 64:
+            self[token] = found
         return found
 
 
@@ -100,7 +103,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, top: int,
 def train(docs: DataFrame, ratings: DataFrame, top: int, most: int = MOST_RATED, least: int = LEAST) -> dict | None:
     """Fit on ``ratings(doc_id, grade)``, grades 0 to ``top``, and the texts of ``docs``; None without ratings."""
     known = ratings.select("doc_id", F.col("grade").cast("int").alias("__y")).dropna().filter(F.col("__y").between(0, top))
-    known = texts.bounded_sample(known, "doc_id", most, "quality")
+    known = texts.bounded_sample(known.groupBy("doc_id").agg(F.max("__y").alias("__y")), "doc_id", most, "quality")
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # about `most` small rows at most
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -121,6 +124,7 @@ def train(docs: DataFrame, ratings: DataFrame, top: int, most: int = MOST_RATED,
             yield pd.DataFrame({"feature": [at], "weight": [w[at]], "theta": [theta]})
 
     made = rows.mapInPandas(make, "doc_id long, y int, at array<int>, x array<double>")
+    made = made.groupBy("doc_id").agg(F.max("y").alias("y"), F.min(F.struct("at", "x")).alias("f")).select("doc_id", "y", "f.at", "f.x")  # a repeated doc_id counts once
     model = made.repartition(1).sortWithinPartitions("doc_id", "y").mapInPandas(learn, "feature array<int>, weight array<double>, theta array<double>").collect()
     return model[0].asDict() if model else None
 
