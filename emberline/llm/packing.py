@@ -12,8 +12,7 @@ of pieces of each length: at most ``capacity`` numbers, whatever the input. On t
    sequences at once.
 
 The result is a list of patterns with multiplicities. Each piece finds its place by its rank among the pieces
-of its length; ranks are counted in parts of at most PART pieces, so a length that a third of all pieces
-share does not meet in one task.
+of its length; a length that many pieces share is ranked in parts, a few for each task, so it does not meet in one.
 
 A null or empty text is one piece, the end token alone. Repeated rows are packed one by one. Null doc_ids are
 kept. An empty table gives an empty result; other columns are ignored.
@@ -35,7 +34,8 @@ from emberline.llm import scratch, texts
 
 CAPACITY = 4096
 END = 1
-PART = 200_000
+#: Pieces of one length that are ranked together at least, and parts for each shuffle partition.
+PART, PARTS = 256, 4
 _TOKENIZERS: dict = {}
 
 
@@ -80,10 +80,15 @@ class Chunks:
             self.chunks = {"": b""}
         if len(self.words) > self.MOST // 2:
             self.words = {}
-        for c in set().union(*split).difference(self.chunks):
+        new = set().union(*split).difference(self.chunks)
+        for c in new:
             self.chunks[c] = self.chunk(c)
         end = END.to_bytes(4, "little")
-        return [b"".join(map(self.chunks.__getitem__, chunks)) + end for chunks in split]
+        out = [b"".join(map(self.chunks.__getitem__, chunks)) + end for chunks in split]
+        for c in new:  # texts without blanks would fill the memory
+            if len(c) > 64:
+                del self.chunks[c]
+        return out
 
 
 def token_bytes(batch: list[str | None], path: str) -> list[bytes]:
@@ -174,10 +179,10 @@ def reduce(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, list[
                 times = min(times, left[partner])
             few = smallest(j, 3)
             one_more = len(few) < 2 or few[0] + few[1] > room
-            if partner == room or one_more:
+            two_more = len(few) < 3 or sum(few) > room
+            # fewer pieces only make the longest pair shorter, so what holds once holds for all these sequences
+            if partner == room or one_more or (two_more and partner >= longest_pair(room, j)):
                 fix(times, j, partner)
-            elif (len(few) < 3 or sum(few) > room) and partner >= longest_pair(room, j):
-                fix(1, j, partner)  # the longest pair may change with every sequence
             else:
                 break
         j -= 1
@@ -233,7 +238,8 @@ def patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int
 def plan(found: list[tuple[int, list[tuple[int, int]]]]) -> list[tuple[int, int, int, int, int, int]]:
     """(length, first rank, end rank, first sequence, pieces a sequence, offset of the first) for every pattern.
 
-    A pattern holds fewer than sqrt(2 * capacity) lengths and a step makes two new patterns at most, so the list is bounded by the capacity.
+    A pattern holds fewer than sqrt(2 * capacity) lengths, dominance uses up a length with two patterns at most, and a step of
+    best fit makes two new patterns at most, so the list is bounded by the capacity.
     """
     rank: dict[int, int] = {}
     out, sequence = [], 0
@@ -253,7 +259,8 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = cut.sparkSession
     rows = scratch.materialize(cut.withColumn("__uid", F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    large = {n: -(-c // PART) for n, c in counts.items() if c > PART}
+    part = max(PART, sum(counts.values()) // (PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    large = {n: -(-c // part) for n, c in counts.items() if c > part}
     parts = F.broadcast(spark.createDataFrame([*large.items()], "length long, __parts int"))
     rows = rows.join(parts, "length", "left").withColumn("__part", F.coalesce(F.pmod(F.xxhash64("__uid"), F.col("__parts")), F.lit(0)).cast("int"))
     before = Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

@@ -8,8 +8,8 @@ shard is added.
 
 The ring is cut into CELLS cells. Only the count of rows in each cell reaches the driver (CELLS numbers at
 most, whatever the input); it walks the ring once and returns, for each cell, ranges of ranks and the shard
-that takes them. Rows then need their rank within their cell: cells are split by a row id into parts of at
-most PART rows, so that one doc_id on a third of all rows does not meet in one task.
+that takes them. Rows then need their rank within their cell: a cell of many rows is split by a row id into parts, a few
+for each task, so that one doc_id on a third of all rows does not meet in one task.
 
 Null doc_ids share one place of the ring; null texts have size 1 and the checksum of the empty text;
 repeated rows are placed one by one; an empty table gives an empty result; other columns are ignored.
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from emberline.llm import scratch
 
 CELLS = 1 << 16
-PART = 200_000
+#: Rows of a cell that are ranked together at least, and parts for each shuffle partition.
+PART, PARTS = 256, 4
 
 
 def ring(shards: int, vnodes: int) -> list[int]:
@@ -88,7 +89,8 @@ def assign(docs: DataFrame, shards: int = 16, vnodes: int = 64, slack: float = 0
     )
     counts = {r["cell"]: r["n"] for r in rows.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     # parts of the few cells that are too large for one task
-    large = {c: -(-n // PART) for c, n in counts.items() if n > PART}
+    part = max(PART, sum(counts.values()) // (PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    large = {c: -(-n // part) for c, n in counts.items() if n > part}
     parts = F.broadcast(spark.createDataFrame([*large.items()], "cell int, parts int"))
     rows = rows.join(parts, "cell", "left").withColumn(
         "part", F.coalesce(F.pmod(F.xxhash64("uid"), F.col("parts")), F.lit(0)).cast("int")
