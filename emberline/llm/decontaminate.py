@@ -62,7 +62,7 @@ class Items:
                 continue
             m = min(n, len(words))
             held = shingles(words, n)
-            hashes = np.unique(rolled(texts.codes(words), m))
+            hashes = np.unique(rolled(texts.word_codes([text])[0], m))
             class_size = 1 << (len(held) - 1).bit_length()
             k = min(len(hashes), int((1 - threshold) * class_size) + 1)
             found.setdefault(m, []).extend((int(x), len(self.items)) for x in hashes[:k])
@@ -72,24 +72,31 @@ class Items:
             pairs.sort()
             self.sketch[m] = np.array([p[0] for p in pairs], np.uint64), np.array([p[1] for p in pairs], np.int64)
 
-    def inside(self, text: str | None) -> list[tuple[int | None, int, int]]:
-        """(item_id, shared shingles, the item's shingles) of the items that a text contains."""
-        words = words_of(text)
-        c, out = texts.codes(words), []
+    def inside(self, batch: list[str | None]) -> list[list[tuple[int | None, int, int]]]:
+        """For each text (item_id, shared shingles, the item's shingles) of the items that it contains."""
+        c, size = texts.word_codes(batch)
+        last = np.cumsum(size)
+        out: list[list] = [[] for _ in batch]
+        words: dict[int, list[str]] = {}
         for m, (hashes, of) in self.sketch.items():
             if len(c) < m:
                 continue
             h = rolled(c, m)
-            lo = np.searchsorted(hashes, h)
-            hit = np.unique(h[hashes[np.minimum(lo, len(hashes) - 1)] == h])
-            if len(hit):
+            at = np.flatnonzero(hashes[np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)] == h)
+            text = np.searchsorted(last, at, "right")
+            inside = at + m <= last[text]  # not across two texts
+            at, text = at[inside], text[inside]
+            for k in np.unique(text).tolist():
+                hit = np.unique(h[at[text == k]])
                 a, b = np.searchsorted(hashes, hit), np.searchsorted(hashes, hit, "right")
-                mine = shingles(words, m)
+                if k not in words:
+                    words[k] = words_of(batch[k])
+                mine = shingles(words[k], m)
                 for i in np.unique(np.concatenate([of[x:y] for x, y in zip(a, b)])):
                     item_id, held = self.items[i]
                     shared = len(held & mine)
                     if shared >= self.threshold * len(held):
-                        out.append((item_id, shared, len(held)))
+                        out[k].append((item_id, shared, len(held)))
         return out
 
 
@@ -118,7 +125,7 @@ def search(docs: DataFrame, benchmark: DataFrame, n: int = 5, threshold: float =
             for whole in batches:
                 for lo in range(0, whole.num_rows, texts.SLICE):
                     batch = whole.slice(lo, texts.SLICE)
-                    hits = [(i, x) for i, t in enumerate(batch.column(1).to_pylist()) for x in items.inside(t)]
+                    hits = [(i, x) for i, found in enumerate(items.inside(batch.column(1).to_pylist())) for x in found]
                     yield pa.RecordBatch.from_arrays(
                         [
                             batch.column(0).take(pa.array([i for i, _ in hits], pa.int64())),
@@ -142,7 +149,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, thresho
         def of_texts(batch: list[str | None], sent=sent, held=held) -> list[bool]:
             if not held:
                 held["items"] = Items(sent.value, n, threshold)
-            return [not held["items"].inside(t) for t in batch]
+            return [not found for found in held["items"].inside(batch)]
 
         out = texts.filter_rows(out, of_texts)
     return out

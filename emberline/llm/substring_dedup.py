@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.llm import bloom, exact_dedup, scratch, skew, texts
-from emberline.llm.decontaminate import rolled, words_of
+from emberline.llm.decontaminate import rolled
 
 HASHES = 3
 #: Shingles beside the smallest one that two windows must share on one side in order to meet.
@@ -86,12 +86,11 @@ def windows(batch: list[str | None], n: int, width: int) -> tuple[np.ndarray, np
 
     The place tells c within its text and the function.
     """
-    words = [words_of(t) for t in batch]
-    size = np.array([len(w) for w in words], np.int64)
+    codes, size = texts.word_codes(batch)
     begin = np.cumsum(size) - size
-    if size.sum() < n:
+    if len(codes) < n:
         return np.zeros(0, np.uint64), begin, np.zeros((6, 0), np.int64)
-    s = rolled(texts.codes([w for ws in words for w in ws]), n)  # those across two texts are in no span
+    s = rolled(codes, n)  # those across two texts are in no span
     out = []
     for i in range(HASHES):
         x = (s ^ texts.MIX[i]) * texts.MIX[i + 1]
