@@ -7,8 +7,9 @@ floor((1 - threshold) * u) + 1 smallest shingle hashes, a bottom-k MinHash sketc
 the threshold misses too few shingles to miss the whole sketch, so looking up a document's shingle hashes
 among the sketches finds every contained item; candidates are then verified on the shingles themselves.
 
-Items are sent to the tasks in blocks of about BLOCK_CHARS characters, so what is broadcast is bounded whatever the
-benchmark holds; each block meets every document where it lies. Words are runs of letters, digits and ``_``,
+Items are sent to the tasks in blocks of about BLOCK_CHARS characters, and each block meets every document where it lies.
+Where there are several, the finds of a block are written and the block leaves the driver and the tasks before the next
+one comes, so no more than one block is held whatever the benchmark holds; documents are then read once a block. Words are runs of letters, digits and ``_``,
 lower-cased; shingles have ``n`` words, and items or documents with fewer words are one shingle as a whole (items
 of fewer than ``n`` words are looked up at their own length).
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm import texts
+from emberline.llm import scratch, skew, texts
 
 BLOCK_CHARS = 8_000_000
 
@@ -100,8 +101,8 @@ class Items:
         return out
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list]:
-    """The distinct items, a bounded block at a time."""
+def _blocks(benchmark: DataFrame) -> Iterator[tuple[list, bool]]:
+    """The distinct items, a bounded block at a time, and whether there are other blocks."""
     items = benchmark.select("item_id", "text").dropna(subset=["text"]).distinct()
     chars = items.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0)).alias("n")).first()["n"]
     count = max(1, -(-chars // BLOCK_CHARS))
@@ -109,7 +110,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list]:
         block = items if count == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k)
         rows = [(r["item_id"], r["text"]) for r in block.collect()]
         if rows:
-            yield rows
+            yield rows, count > 1
 
 
 def search(docs: DataFrame, benchmark: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -117,7 +118,7 @@ def search(docs: DataFrame, benchmark: DataFrame, n: int = 5, threshold: float =
     found = None
     slim = docs.select("doc_id", "text")
     schema = "doc_id long, item_id long, shared long, item_shingles long, containment double"
-    for rows in _blocks(benchmark):
+    for rows, others in _blocks(benchmark):
         sent = docs.sparkSession.sparkContext.broadcast(rows)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -136,20 +137,28 @@ def search(docs: DataFrame, benchmark: DataFrame, n: int = 5, threshold: float =
                     )
 
         part = slim.mapInArrow(run, schema)
+        if others:
+            part = scratch.materialize(part, "leaks")
+            sent.destroy()
         found = part if found is None else found.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if found is None else found
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
     """The documents that contain no test item, with all their columns."""
-    out = docs
-    for rows in _blocks(benchmark):
+    slim = docs.select("doc_id", "text", skew.row_hash(docs).alias("row_hash"))
+    leaks = None
+    for rows, others in _blocks(benchmark):
         sent, held = docs.sparkSession.sparkContext.broadcast(rows), {}
 
-        def of_texts(batch: list[str | None], sent=sent, held=held) -> list[bool]:
+        def leaking(batch: list[str | None], sent=sent, held=held) -> list[bool]:
             if not held:
                 held["items"] = Items(sent.value, n, threshold)
-            return [not found for found in held["items"].inside(batch)]
-
-        out = texts.filter_rows(out, of_texts)
-    return out
+            return [bool(found) for found in held["items"].inside(batch)]
+
+        if not others:
+            return texts.filter_rows(docs, lambda batch, leaking=leaking: [not x for x in leaking(batch)])
+        part = scratch.materialize(texts.filter_rows(slim, leaking).select("doc_id", "row_hash"), "leaks")
+        sent.destroy()
+        leaks = part if leaks is None else leaks.unionByName(part)
+    return docs if leaks is None else skew.keep_rows(docs, leaks.withColumn("kept", F.lit(False)))
