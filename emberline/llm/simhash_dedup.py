@@ -303,7 +303,8 @@ def group_similar(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFr
     merged = scratch.materialize(_similar(scratch.materialize(close, "close"), nodes, threshold), "verified")
     final = components.components(merged, "a", "b")
     if not members.isEmpty():
-        final = components.components(merged.unionByName(_across(members, final, nodes, threshold)), "a", "b")
+        stars = final.select(F.col("node").alias("a"), F.col("root").alias("b"))  # as connected as the links, and nearly done
+        final = components.components(stars.unionByName(_across(members, final, nodes, threshold)), "a", "b")
     slim = nodes.select("id", "copies", "first")
     rooted = slim.join(final.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     rooted = scratch.materialize(rooted, "rooted")
