@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -80,6 +81,18 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: int = 1000) -> Iterator[None]:
+    """What runs inside the block goes to Python in batches of at most ``most`` rows, so tasks hold fewer long rows at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(most, int(before)) if int(before) > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def add_columns(docs: DataFrame, fields: list[T.StructField], of_texts: Callable[[list[str | None]], list], text: str = "text") -> DataFrame:
     """``docs`` with columns that ``of_texts`` makes of a list of texts; nothing else about a row changes."""
     at = docs.columns.index(text)
