@@ -6,32 +6,54 @@ the columns of documents; the last one returns the token pieces and their places
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from emberline.llm import decontaminate, exact_dedup, packing, scratch, simhash_dedup
 from emberline.llm import toxicity as toxic
 
+#: Bytes of a batch of rows that a Python worker gets at most (a longer row goes alone).
+BATCH = 2 << 20
+
+
+def _bounded(stage: Callable) -> Callable:
+    """``stage`` with batches of at most BATCH bytes. The session keeps that setting, as what a stage returns runs later."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
 
+@_bounded
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are toxic with probability 0.5 or more go."""
     return toxic.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@_bounded
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one stays."""
     return exact_dedup.drop_duplicates_of(docs)
 
 
+@_bounded
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of copies at 0.8 of their 5-word shingles the document with the smallest doc_id stays."""
     return simhash_dedup.drop_similar(docs)
 
 
+@_bounded
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_bounded
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token pieces of what is left, each with its sequence and offset."""
     return packing.pack(docs)
