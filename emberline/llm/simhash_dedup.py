@@ -25,8 +25,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -234,9 +234,10 @@ def _across(members: DataFrame, roots: DataFrame, nodes: DataFrame, threshold: f
     held = _held(nodes, m.select("id").distinct())
     dealt = few.unionByName(all_).select("id", "root", "few", F.xxhash64("at", "p", "q").alias("block")).join(held, "id")
 
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        few, every = block[block["few"]], block[~block["few"]]
-        x, y = ([np.frombuffer(c, "<u4") for c in side["codes"]] for side in (few, every))
+    def run(block: pa.Table) -> pa.Table:
+        is_few = block.column("few").combine_chunks()
+        few, every = block.filter(is_few), block.filter(pc.invert(is_few))
+        x, y = ([np.frombuffer(c, "<u4") for c in side.column("codes").to_pylist()] for side in (few, every))
         codes = np.unique(np.concatenate([np.zeros(0, "<u4"), *x, *y]))
         shared = np.zeros((len(x), len(y)), np.float32)
         for lo in range(0, len(codes), 4096):  # a slice of the codes at a time, so memory is bounded
@@ -249,11 +250,11 @@ def _across(members: DataFrame, roots: DataFrame, nodes: DataFrame, threshold: f
                 on.append(held)
             shared += on[0] @ on[1].T
         sizes = np.add.outer(np.array([len(c) for c in x], float), np.array([len(c) for c in y], float))
-        good = (shared >= threshold * (sizes - shared)) & (few["root"].to_numpy()[:, None] != every["root"].to_numpy()[None, :])
+        good = (shared >= threshold * (sizes - shared)) & (few.column("root").to_numpy()[:, None] != every.column("root").to_numpy()[None, :])
         i, j = np.nonzero(good)
-        return pd.DataFrame({"a": few["id"].to_numpy()[i], "b": every["id"].to_numpy()[j]})
+        return pa.table({"a": few.column("id").to_numpy()[i], "b": every.column("id").to_numpy()[j]})
 
-    return dealt.groupBy("block").applyInPandas(run, "a long, b long")
+    return dealt.groupBy("block").applyInArrow(run, "a long, b long")
 
 
 def _held(nodes: DataFrame, ids: DataFrame) -> DataFrame:

@@ -20,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,11 +75,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     """Fit on ``labels(doc_id, label)`` and the texts of ``docs``; None without labels."""
     known = labels.select("doc_id", F.col(label).cast("double").alias("__y")).dropna().groupBy("doc_id").agg(F.max("__y").alias("__y"))
     known = texts.bounded_sample(known, "doc_id", most, "toxicity")
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # about `most` small rows at most
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "text", "__y")  # about `most` small rows at most
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["__y"], "x": [np.unique(features(t)) for t in b["text"]]})
+            x = pa.array([np.unique(features(t)) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), x], names=["doc_id", "y", "x"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the features of a batch stay one flat array; rows are views of it
@@ -96,7 +96,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
             at, w, bias = fit([x[i] for i in order], np.array(y)[order], least)
             yield pa.RecordBatch.from_arrays([pa.array([at.astype(np.int32)]), pa.array([w]), pa.array([bias])], names=["feature", "weight", "bias"])
 
-    made = rows.mapInPandas(make, "doc_id long, y double, x array<int>")
+    made = rows.mapInArrow(make, "doc_id long, y double, x array<int>")
     made = made.groupBy("doc_id").agg(F.max("y").alias("y"), F.min("x").alias("x"))  # a repeated doc_id counts once
     model = made.repartition(1).sortWithinPartitions("doc_id", "y").mapInArrow(learn, "feature array<int>, weight array<double>, bias double").collect()
     return model[0].asDict() if model else None
