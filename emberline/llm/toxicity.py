@@ -17,6 +17,7 @@ table gives an empty result; other columns are kept by ``drop_toxic`` and ignore
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,7 +51,14 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, least: int = LEAST) -> tuple
     seen = np.zeros(1 << BITS, np.int64)
     for r in rows:
         seen[r] += 1
-    rows = [np.append(r[seen[r] >= least], np.int32(bias_at)) for r in rows]
+    # what is left lies in one array too
+    left = np.empty(sum(int((seen[r] >= least).sum()) + 1 for r in rows), np.int32)
+    ends = [0]
+    for r in rows:
+        r = r[seen[r] >= least]
+        ends.append(ends[-1] + len(r) + 1)
+        left[ends[-2] : ends[-1] - 1], left[ends[-1] - 1] = r, bias_at
+    rows = [left[i:j] for i, j in zip(ends, ends[1:])]
     z, n = np.zeros(bias_at + 1), np.zeros(bias_at + 1)
 
     def weights(at):
@@ -83,15 +91,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2), x], names=["doc_id", "y", "x"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the features of a batch stay one flat array; rows are views of it
-        x, y, ids = [], [], []
+        # all features stay in one block, which a worker gives back whole; rows are views of it
+        flat, ends, y, ids = array("i"), [0], [], []
         for b in batches:
             lists = b.column(2)
-            flat, ends = np.array(lists.values), np.array(lists.offsets)
-            x += [flat[i:j] for i, j in zip(ends, ends[1:])]
+            flat.frombytes(np.ascontiguousarray(lists.flatten(), np.int32).view(np.uint8))
+            ends += (np.cumsum(np.diff(np.array(lists.offsets, np.int64))) + ends[-1]).tolist()
             y += b.column(1).to_pylist()
             ids += b.column(0).to_pylist()
-        if x:
+        if y:
+            held = np.frombuffer(flat, np.int32)
+            x = [held[i:j] for i, j in zip(ends, ends[1:])]
             order = np.argsort(np.array([texts.crc32(str(i).encode()) for i in ids]), kind="stable")
             at, w, bias = fit([x[i] for i in order], np.array(y)[order], least)
             yield pa.RecordBatch.from_arrays([pa.array([at.astype(np.int32)]), pa.array([w]), pa.array([bias])], names=["feature", "weight", "bias"])
