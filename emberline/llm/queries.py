@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import chat_format, decontaminate, exact_dedup, langid, packing, quality, sharding, simhash_dedup, substring_dedup, toxicity
+from emberline.llm import (
+    centroid_clustering,
+    chat_format,
+    decontaminate,
+    exact_dedup,
+    hard_negatives,
+    langid,
+    packing,
+    quality,
+    sentence_pieces,
+    sharding,
+    simhash_dedup,
+    substring_dedup,
+    toxicity,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,6 +122,62 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(_table(spark, sf_dir, "documents"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector of 64 components after ten rounds with eight centroids."""
+    return centroid_clustering.with_inertia(*centroid_clustering.cluster(_table(spark, sf_dir, "embeddings")))
+
+
+_ROUND = """
+a{n} AS MATERIALIZED (SELECT v.vec_id, v.v, min([list_inner_product(v.v, v.v) - 2 * list_inner_product(v.v, c.v) + list_inner_product(c.v, c.v), c.c]) AS best
+  FROM kept v, c{n} c GROUP BY v.vec_id, v.v)"""
+_MOVE = """
+c{m} AS MATERIALIZED (SELECT p.c, coalesce(n.v, p.v) AS v FROM c{n} p LEFT JOIN (SELECT c, list(x ORDER BY i) AS v
+  FROM (SELECT best[2] AS c, i, floor(sum(v[i]) / count(*)) AS x FROM a{n}, range(1, 65) r(i) GROUP BY best[2], i) GROUP BY c) n ON n.c = p.c)"""
+OP11_SQL = (
+    """
+WITH kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h) - 1 AS DOUBLE) AS c, v FROM (SELECT sha256('3:' || vec_id) AS h, v FROM kept ORDER BY h LIMIT 8)),"""
+    + ",".join(_ROUND.format(n=n) + "," + _MOVE.format(n=n, m=n + 1) for n in range(10))
+    + ","
+    + _ROUND.format(n=10)
+    + """
+SELECT a.vec_id, CAST(best[2] AS INT) AS cluster, CAST(best[1] AS BIGINT) AS distance, CAST(sum(best[1]) OVER (PARTITION BY best[2]) AS BIGINT) AS cluster_inertia,
+  CAST(sum(best[1]) OVER () AS BIGINT) AS inertia, sha256(array_to_string(list_transform(c.v, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM a10 a JOIN c10 c ON c.c = best[2]
+"""
+)
+
+
+def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded to pieces and decoded again."""
+    made = sentence_pieces.round_trip(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return made.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of other labels that score nearly as high as an anchor's positives."""
+    rows = _table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved))
+
+
+OP13_SQL = """
+WITH kept AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE label IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM kept a JOIN kept b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, p.id AS positive_id, CAST(row_number() OVER w AS INT) AS rank, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n USING (anchor_id) WHERE NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+WINDOW w AS (PARTITION BY anchor_id, p.id ORDER BY n.score DESC, n.id) QUALIFY row_number() OVER w <= 10
+"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -121,6 +191,9 @@ QUERIES = {
         op8_best_fit_packing,
         op9_quality,
         op10_language_id,
+        op11_centroid_clustering,
+        op12_sentence_pieces,
+        op13_hard_negatives,
     )
 }
-ORACLES = {"op3_exact_dedup": OP3_SQL, "op5_chat_format": OP5_SQL, "op7_decontamination": OP7_SQL}
+ORACLES = {"op3_exact_dedup": OP3_SQL, "op5_chat_format": OP5_SQL, "op7_decontamination": OP7_SQL, "op11_centroid_clustering": OP11_SQL, "op13_hard_negatives": OP13_SQL}
