@@ -27,6 +27,13 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written once to the shared folder, as read from there: later uses neither run it again nor depend on an executor."""
+    path = new_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_hotspots(spark: SparkSession, path: str, pattern: str = "*", schema: T.StructType = S.HOTSPOTS_PUBLIC) -> DataFrame:
     """All CSV files (also gzip) under ``path`` whose names match; the schema is given, never guessed."""
     return spark.read.schema(schema).option("header", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).csv(path)
