@@ -1,4 +1,4 @@
-"""From raw detections to masked, regional hotspots. All joins are with small tables of cells."""
+"""From raw detections to masked, regional hotspots. Masks and regions are looked up in tiles of cells."""
 
 from __future__ import annotations
 
@@ -7,17 +7,9 @@ from pyspark.sql import functions as F
 
 from emberline import schemas as S
 from emberline.functions import scalars as X
+from emberline.operators import cells as K
 from emberline.operators.shape import normalise_to_year, with_global
 
-#: Cell tables up to this many rows are broadcast; larger ones shuffle by cell.
-BROADCAST_CELLS = 2_000_000
-
-
-def small(df: DataFrame, most: int = BROADCAST_CELLS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``most`` rows, else as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def clean(raw: DataFrame, least_b3: float = 285.0) -> DataFrame:
     """Missing values as null, warm pixels only, the public columns, and the platform code."""
     bands = ("b1", "b2", "b3", "b4", "b5")
@@ -61,7 +53,9 @@ def point_keys(points: DataFrame) -> DataFrame:
 
 def mask_points(df: DataFrame, points: DataFrame) -> DataFrame:
     """Detections in no cell of a volcano, persistent source or industrial site."""
-    return df.join(small(point_keys(points)), ["lat_x10_int", "lon180_x10_int"], "left_anti")
+    at = K.by_tenths("lat_x10_int", "lon180_x10_int")
+    keys = points.select(X.cell_key_x10(X.round_tenth("lat")).alias("lat_x10_int"), X.cell_key_x10(X.round_tenth("lon180")).alias("lon180_x10_int"))
+    return K.where(df, at, keys, at, there=False)
 
 
 def burnable(cells: DataFrame) -> DataFrame:
@@ -69,12 +63,13 @@ def burnable(cells: DataFrame) -> DataFrame:
 
 
 def mask_landcover(df: DataFrame, cells: DataFrame) -> DataFrame:
-    return df.join(small(burnable(cells).select("lat_ix", "lon_ix").distinct()), ["lat_ix", "lon_ix"], "left_semi")
+    at = K.by_centres("lat_ix", "lon_ix")
+    return K.where(df, at, burnable(cells), at, there=True)
 
 
 def assign_region(df: DataFrame, cells: DataFrame) -> DataFrame:
-    joined = df.join(small(cells.select("lat_ix", "lon_ix", "gfed")), ["lat_ix", "lon_ix"])
-    return joined.withColumn("gfed_name", X.region_name("gfed"))
+    at = K.by_centres("lat_ix", "lon_ix")
+    return K.with_value(df, at, cells, at, "gfed").withColumn("gfed_name", X.region_name("gfed"))
 
 
 def dedup(df: DataFrame) -> DataFrame:
