@@ -170,15 +170,16 @@ tr AS (SELECT *, CAST(EXISTS (SELECT 1 FROM sb b WHERE b.sensor = 'test' AND b.l
 te AS (SELECT *, CAST(EXISTS (SELECT 1 FROM sb b WHERE b.sensor = 'truth' AND b.la = a.la AND b.lo = a.lo AND abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 21600000000) AS INT) AS matched FROM sb a WHERE sensor = 'test')"""
 
 
+TRUTH = "sensor = 'truth'"
+
+
 def _matched(spark, d):
-    s = M.with_cells(V.sensor(spark, d), 2).withColumn("year", F.year("ts"))
-    return M.match_detections(s.filter("sensor = 'truth'"), s.filter("sensor = 'test'"))
+    return M.match_sensors(M.with_cells(V.sensor(spark, d), 2).withColumn("year", F.year("ts")), TRUTH)
 
 
 @query(f"WITH {_MATCH} SELECT event_id, sensor, matched FROM tr UNION ALL SELECT event_id, sensor, matched FROM te")
 def c11_match_detections(spark, d):
-    a, b = _matched(spark, d)
-    return a.unionByName(b).select("event_id", "sensor", "matched")
+    return _matched(spark, d).select("event_id", "sensor", "matched")
 
 
 _CELLM = f"""{_MATCH}, cm AS (SELECT coalesce(a.la, b.la) AS lat_bin, coalesce(a.lo, b.lo) AS lon_bin, coalesce(m, 0) AS tp, CAST(a.la IS NOT NULL AND m = 0 AS INT) AS fn, CAST(b.la IS NOT NULL AND coalesce(m, 0) = 0 AS INT) AS fp
@@ -187,7 +188,7 @@ FROM (SELECT la, lo, max(matched) AS m FROM tr GROUP BY ALL) a FULL JOIN (SELECT
 
 @query(f"WITH {_CELLM} SELECT * FROM cm")
 def c12_match_cells(spark, d):
-    return M.match_cells(*_matched(spark, d))
+    return M.match_cells(_matched(spark, d), TRUTH)
 
 
 _RATE = f"""{_MATCH}, er AS (SELECT a.year, a.gfed, tp, fn, fp, fn / nullif(tp + fn, 0) AS omission, fp / nullif(tp + fp, 0) AS commission FROM
@@ -197,12 +198,12 @@ _RATE = f"""{_MATCH}, er AS (SELECT a.year, a.gfed, tp, fn, fp, fn / nullif(tp +
 @query(f"WITH {_RATE} SELECT year, gfed, tp, fn, fp, round(omission, 6) AS omission, round(commission, 6) AS commission FROM er")
 def d32_g02_error_rates(spark, d):
     """Error rates of the years and regions that both sensors have."""
-    return M.error_rates(*_matched(spark, d), ["year", "gfed"]).withColumns({c: F.round(c, 6) for c in ("omission", "commission")})
+    return M.error_rates(_matched(spark, d), TRUTH, ["year", "gfed"]).withColumns({c: F.round(c, 6) for c in ("omission", "commission")})
 
 
 @query(f"WITH {_RATE} SELECT gfed, round(avg(omission), 6) AS omission, round(avg(commission), 6) AS commission FROM er GROUP BY ALL")
 def d35_mean_errors(spark, d):
-    df = M.mean_errors(M.error_rates(*_matched(spark, d), ["year", "gfed"]), ["gfed"])
+    df = M.mean_errors(M.error_rates(_matched(spark, d), TRUTH, ["year", "gfed"]), ["gfed"])
     return df.withColumns({c: F.round(c, 6) for c in ("omission", "commission")})
 
 

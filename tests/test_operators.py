@@ -98,16 +98,42 @@ def test_season_days_without_data(spark):
     assert {r.x: r.value for r in e.collect()} == {0: 2.0, 1: None}
 
 
-def test_matching_by_all_pairs(spark):
+def all_pairs(rows, hours=6):
+    """Whether each row has one of the other sensor in its cell of 2 degrees and within the time, pair by pair."""
+    return {r[0]: int(r[2] is not None and any(q[1] != r[1] and q[2] is not None and abs(q[2] - r[2]) <= timedelta(hours=hours) and q[3] // 2 == r[3] // 2 and q[4] // 2 == r[4] // 2 for q in rows)) for r in rows}
+
+
+@pytest.mark.parametrize("minutes", [4000, 40_000])
+def test_matching_by_all_pairs(spark, minutes):
     rng = np.random.default_rng(4)
     t0 = datetime(2005, 6, 1)
-    rows = [(i, "truth" if i % 2 else "test", t0 + timedelta(minutes=int(rng.integers(0, 4000))), float(rng.integers(0, 4)), float(rng.integers(0, 4))) for i in range(120)]
+    rows = [(i, "truth" if i % 2 else "test", t0 + timedelta(minutes=int(rng.integers(0, minutes))), float(rng.integers(0, 4)), float(rng.integers(0, 4))) for i in range(400)]
+    rows += [(1000, "truth", t0, 50.0, 50.0), (1001, "test", t0 + timedelta(hours=6), 50.0, 50.0), (1002, "truth", t0 + timedelta(hours=12, microseconds=1), 50.0, 50.0), (1003, "test", None, 50.0, 50.0)]
     df = matching.with_cells(spark.createDataFrame(rows, "event_id long, sensor string, ts timestamp_ntz, lat double, lon180 double"), 2)
-    a, b = matching.match_detections(df.filter("sensor = 'truth'"), df.filter("sensor = 'test'"))
-    want = {r[0]: int(any(q[1] != r[1] and abs(q[2] - r[2]) <= timedelta(hours=6) and q[3] // 2 == r[3] // 2 and q[4] // 2 == r[4] // 2 for q in rows)) for r in rows}
-    assert {r.event_id: r.matched for r in a.unionByName(b).collect()} == want
-    cells = matching.match_cells(a, b).collect()
-    assert all(r.tp + max(r.fn, r.fp) == 1 for r in cells)
+    a, b = matching.match_detections(df.filter("sensor = 'truth'"), df.filter("sensor = 'test'").withColumn("more", F.lit(1)))
+    assert b.columns == [*df.columns, "more", "matched"]
+    want = all_pairs(rows)
+    assert {r.event_id: r.matched for r in a.collect() + b.collect()} == want and want[1001] == 1 and want[1002] == 0
+    truth = "sensor = 'truth'"
+    both = matching.match_sensors(df, truth)
+    assert {r.event_id: r.matched for r in both.collect()} == want
+    assert all(r.tp + max(r.fn, r.fp) == 1 for r in matching.match_cells(both, truth).collect())
+    rates = matching.error_rates(both, truth, ["lat_bin"]).collect()
+    assert sum(r.tp + r.fn for r in rates) + sum(r.fp for r in rates) <= len(rows)
+
+
+def test_matching_with_a_third_of_the_rows_in_one_cell(spark):
+    """A cell with a third of all rows, most of them at a few times, does not meet in one task."""
+    rows = spark.sql(
+        """SELECT id AS event_id, id % 2 = 0 AS truth, IF(id % 3 = 0, 1, id % 50) AS lat_bin, IF(id % 3 = 0, 1, id % 7) AS lon_bin,
+        CAST(IF(id % 3 = 0, id % 12 * 7200, id * 997 % 9000000) AS DOUBLE) AS sec FROM range(60000)"""
+    )
+    out = matching.match_sensors(rows, "truth")
+    assert out.count() == 60000 and out.filter("lat_bin = 1 AND lon_bin = 1 AND event_id % 3 = 0 AND matched = 0").count() == 0
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    windows = [line for line in plan.splitlines() if "Window " in line or "Window [" in line]
+    assert windows and all("event_id" not in line for line in windows)  # windows run over distinct times, not rows
 
 
 def test_polygon_with_a_hole(spark):
