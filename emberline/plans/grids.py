@@ -14,7 +14,7 @@ from emberline.operators import spatial as P
 from emberline.plans import sql as Q
 from emberline.plans.hotspots import valid
 from emberline.plans.registry import query
-from emberline.sources import files
+from emberline.sources import files, rasters
 from emberline.sources import standins as V
 
 GRID = f"""{Q.CLEAN}, gr AS (SELECT year, CAST(1799 - least(floor((lat + 90) * 10), 1799) AS INT) AS y, CAST(least(floor(lon360 * 10), 3599) AS INT) AS x, CAST(count(*) AS DOUBLE) AS value FROM hc GROUP BY ALL)"""
@@ -295,13 +295,28 @@ def a06_grid_stack(spark, d):
     return spark.read.parquet(path).select(F.col("year").cast("int").alias("year"), "y", "x", "value")
 
 
-@query(f"WITH {Q.H} SELECT fn, lat, lon, year, month, day, hour, b1, b4, satza FROM h WHERE fn LIKE 'NN%'")
+_RASTER = f"""{GRID}, r1 AS (SELECT year, CAST(floor(y / 10) AS INT) AS y, CAST((floor(x / 10) + 180) % 360 AS INT) AS x, sum(value) AS value FROM gr GROUP BY ALL)"""
+
+
+@query(f"""WITH {_RASTER} SELECT year, y, x, value, 90 - (y + 0.5::DOUBLE) AS lat, x - 179.5::DOUBLE AS lon, CAST(round_even((90 - (y + 0.5::DOUBLE)) * 100, 0) AS INT) AS lat_ix, CAST(round_even((x - 179.5::DOUBLE) * 100, 0) AS INT) AS lon_ix FROM r1""")
+def a04_raster_cells(spark, d):
+    """Counts by year and degree written as arrays, and read back by strips as cells from 180 west."""
+    path = files.new_path(spark, "rasters")
+    counts = G.coarsen(_grid(spark, d), ["year"], 10, "sum").withColumn("name", F.concat(F.lit("counts-"), F.col("year").cast("string")))
+    rasters.write_rasters(counts, path, 180, 360)
+    cells = rasters.read_rasters(spark, path, roll=True, strip_bytes=1 << 17)
+    year = F.regexp_extract("path", r"counts-(\d+)\.npy$", 1).cast("int")
+    return cells.select(year.alias("year"), "y", "x", "value", "lat", "lon", "lat_ix", "lon_ix")
+
+
+@query(f"WITH {Q.H} SELECT fn, lat, lon, year, month, day, hour, b1, b4, satza FROM h")
 def a01_a05_hotspot_csv(spark, d):
-    """Detections of one platform through gzip CSV files, read with a fixed schema."""
+    """Detections through gzip CSV files, picked by their names among others and read with a fixed schema."""
     path = files.new_path(spark, "csv")
     cols = ["fn", "lat", "lon", "year", "month", "day", "hour", "b1", "b2", "b3", "b4", "b5", "b34", "b45", "satza"]
-    h = V.hotspots(spark, d).filter("fn LIKE 'NN%'").withColumns({"b34": F.lit(0.0), "b45": F.lit(0.0)}).select(cols)
-    files.write_csv(h, path)
+    h = V.hotspots(spark, d).withColumns({"b34": F.lit(0.0), "b45": F.lit(0.0)}).select(cols)
+    files.write_csv(h, f"{path}/pixels")
+    files.write_table(V.points(spark, d), f"{path}/points")
     return files.read_hotspots(spark, path, "*.csv.gz").select("fn", "lat", "lon", "year", "month", "day", "hour", "b1", "b4", "satza")
 
 
@@ -315,10 +330,9 @@ def a07_a08_compact_orbits(spark, d):
     return files.compact_orbits(spark, path, f"{path}-all").groupBy("platform", "year").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {Q.POINTS} SELECT lat, lon180 FROM pts WHERE kind = 'volcano'")
+@query(f"WITH {Q.POINTS} SELECT lat, lon180 FROM pts")
 def a03_a10_point_list(spark, d):
     """A table written as one CSV file, read back as a point list."""
     path = files.new_path(spark, "points")
-    p = V.points(spark, d).filter("kind = 'volcano'")
-    files.write_table(p.select(F.col("lat").alias("Latitude"), F.col("lon180").alias("Longitude"), "kind"), path)
+    files.write_table(V.points(spark, d).select(F.col("lat").alias("Latitude"), F.col("lon180").alias("Longitude"), "kind"), path)
     return files.read_points(spark, path, "Latitude", "Longitude")

@@ -1,13 +1,10 @@
-"""Reading and writing of detection files, point lists, grids and tables."""
+"""Reading and writing of detection files, point lists, grids and tables; arrays are in :mod:`emberline.sources.rasters`."""
 
 from __future__ import annotations
 
-import io
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,27 +46,6 @@ def read_points(spark: SparkSession, path: str, lat: str, lon: str) -> DataFrame
     return raw.select(F.col(lat).cast("double").alias("lat"), F.col(lon).cast("double").alias("lon180"))
 
 
-def raster_to_cells(files: DataFrame, roll: bool = False) -> DataFrame:
-    """(path, y, x, value) of the cells of saved two-dimensional arrays, missing cells left out.
-
-    ``files`` comes from ``spark.read.format("binaryFile")``; ``roll`` turns the columns by half the width,
-    from 0..360 to -180..180 degrees.
-    """
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        for b in batches:
-            for path, content in zip(b["path"], b["content"]):
-                a = np.load(io.BytesIO(content)).astype(float)
-                width = a.shape[1]
-                for lo in range(0, a.shape[0], 256):  # bounded pieces, whatever the raster's height
-                    y, x = np.nonzero(~np.isnan(a[lo : lo + 256]))
-                    yield pd.DataFrame({"path": path, "y": y + lo, "x": (x + width // 2) % width if roll else x, "value": a[lo : lo + 256][y, x]})
-
-    return files.select("path", "content").mapInPandas(decode, "path string, y int, x int, value double")
-
-
 def write_csv(df: DataFrame, path: str) -> bool:
     """Gzip CSV with a header; nothing is written for an empty result."""
     if df.isEmpty():

@@ -199,17 +199,6 @@ def test_failed_orbits_are_logged(spark):
     assert [r.fn for r in good.collect()] == ["a"] and [(r.fn, r.error) for r in failed.collect()] == [("b", "ValueError: negative")]
 
 
-def test_raster(spark, tmp_path):
-    a = np.arange(24, dtype=float).reshape(4, 6)
-    a[1, 2] = np.nan
-    np.save(tmp_path / "r.npy", a)
-    df = spark.read.format("binaryFile").load(str(tmp_path))
-    got = {(r.y, r.x): r.value for r in files.raster_to_cells(df).collect()}
-    assert got == {(y, x): a[y, x] for y in range(4) for x in range(6) if (y, x) != (1, 2)}
-    rolled = {(r.y, r.x): r.value for r in files.raster_to_cells(df, roll=True).collect()}
-    assert rolled == {(y, (x + 3) % 6): v for (y, x), v in got.items()}
-
-
 def test_trend_table_and_change_points(spark):
     rows = [("r", y, float(y if y < 2003 else 2003 - 3 * (y - 2003)) + 0.01 * (y % 3)) for y in range(1986, 2017)]
     df = spark.createDataFrame(rows, "gfed string, year int, v double")
