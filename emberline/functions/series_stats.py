@@ -68,24 +68,179 @@ def _ties(v: np.ndarray) -> np.ndarray:
     return n[n > 1]
 
 
+#: Pairs of values that a step on short series holds at one time.
+PAIRS = 1 << 21
+#: Series of more values are ranked in n log n steps, one by one; shorter ones by all pairs, many at a time.
+SHORT = 512
+#: Values that are compared directly at the bottom of a merge sort.
+_BASE = 32
+
+
+def discordant(ranks: np.ndarray, also_equal: bool = False) -> int:
+    """Pairs i < j with ranks[i] > ranks[j] (or, with ``also_equal``, >=), counted while blocks of sorted values are merged."""
+    n = len(ranks)
+    if n < 2:
+        return 0
+    top = int(ranks.max()) + 1
+    pad = -n % _BASE
+    v = np.concatenate([ranks.astype(np.int64), np.full(pad, top)])  # what fills the last block is larger than all before it
+    rows = v.reshape(-1, _BASE)
+    found = 0
+    for k in range(1, _BASE):
+        left, right = rows[:, :-k], rows[:, k:]
+        found += int(((left >= right) & (right < top) if also_equal else left > right).sum())
+    width = _BASE
+    v = np.sort(rows, axis=1).ravel()
+    while width < len(v):
+        place = np.arange(len(v))
+        block = place // (2 * width)
+        key = block * (top + 2) + v
+        is_left = place % (2 * width) < width
+        left = key[is_left]
+        right, of = key[~is_left], block[~is_left]
+        real = v[~is_left] < top
+        ends = np.searchsorted(left, (of + 1) * (top + 2))  # end of the left half of each block
+        found += int((ends - np.searchsorted(left, right, side="left" if also_equal else "right"))[real].sum())
+        v = np.sort(key) - block * (top + 2)
+        width *= 2
+    return found
+
+
+def _rank(v: np.ndarray) -> np.ndarray:
+    return np.unique(v, return_inverse=True)[1].reshape(-1)
+
+
+def _equal_pairs(*columns: np.ndarray) -> int:
+    n = np.unique(np.column_stack(columns), axis=0, return_counts=True)[1] if len(columns) > 1 else np.unique(columns[0], return_counts=True)[1]
+    return int((n * (n - 1) // 2).sum())
+
+
+def kendall_long(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """tau-b and p of one series without missing values, in n log n steps."""
+    n = len(x)
+    total = n * (n - 1) // 2
+    order = np.lexsort((y, x))
+    against = discordant(_rank(y[order]))
+    tx, ty, both = _equal_pairs(x), _equal_pairs(y), _equal_pairs(x, y)
+    s = total - tx - ty + both - 2 * against
+    if total in (tx, ty):
+        return math.nan, math.nan
+    return s / math.sqrt(float(total - tx) * float(total - ty)), kendall_p(s, x, y)
+
+
+class Slopes:
+    """The slopes between all pairs of points of one long series, of which any rank can be found without listing them.
+
+    The slopes up to t are the pairs whose order by y - t x turns, which merge sort counts; a bisection closes in on the t of a rank.
+    """
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        order = np.lexsort((y, x))
+        # a shift of x or y changes no slope and keeps y - t x precise
+        self.x, self.y = x[order] - np.median(x), y[order] - np.median(y)
+        self.same = _equal_pairs(x, y)
+        self.count = len(x) * (len(x) - 1) // 2 - _equal_pairs(x)
+        rng = np.random.default_rng(0)
+        i, j = rng.integers(0, len(x), (2, 20_000))
+        use = self.x[i] != self.x[j]
+        self.some = np.sort((self.y[j] - self.y[i])[use] / (self.x[j] - self.x[i])[use]) if use.any() else np.zeros(1)
+        self.known: dict[float, int] = {}
+
+    def up_to(self, t: float) -> int:
+        if t not in self.known:
+            z = self.y - t * self.x
+            order = np.lexsort((z, self.x))
+            self.known[t] = discordant(_rank(z[order]), also_equal=True) - self.same
+        return self.known[t]
+
+    def of_rank(self, k: int) -> float:
+        """The slope with ``k`` smaller ones, to the last few digits."""
+        at, near = round(len(self.some) * (k + 0.5) / max(1, self.count)), max(2, len(self.some) // 100)
+        lo, hi = (float(self.some[min(max(at + d, 0), len(self.some) - 1)]) for d in (-near, near))
+        step = max(hi - lo, abs(hi), 1e-300) * 1e-3
+        while self.up_to(lo) > k:
+            lo, step = lo - step, step * 4
+        while self.up_to(hi) <= k:
+            hi, step = hi + step, step * 4
+        while hi - lo > 2e-14 * max(abs(lo), abs(hi)) and hi - lo > 1e-300:
+            mid = (lo + hi) / 2
+            lo, hi = (lo, mid) if self.up_to(mid) > k else (mid, hi)
+        return hi
+
+
+def _limit_ranks(m, sigma, z: float):
+    return np.maximum(np.rint((m + z * sigma) / 2) - 1, 0).astype(np.int64), np.minimum(np.rint((m - z * sigma) / 2), m - 1).astype(np.int64)
+
+
+def theil_sen_long(x: np.ndarray, y: np.ndarray, alpha: float = 0.05) -> tuple[float, float, float, float]:
+    """Slope, intercept and limits of one series without missing values; slopes are selected by rank."""
+    slopes, n = Slopes(x, y), len(x)
+    m = slopes.count
+    if not m:
+        return (math.nan,) * 4
+    ties = sum((t * (t - 1) * (2 * t + 5)).sum() for t in (_ties(x), _ties(y)))
+    sigma = math.sqrt(max(0.0, (n * (n - 1.0) * (2 * n + 5) - ties) / 18))
+    lo, hi = (int(r) for r in _limit_ranks(m, sigma, NORMAL.inv_cdf(alpha / 2)))
+    middle = {slopes.of_rank(k) for k in {(m - 1) // 2, m // 2}}
+    slope = sum(middle) / len(middle)
+    return slope, np.median(y) - slope * np.median(x), slopes.of_rank(lo), slopes.of_rank(hi)
+
+
 def kendall_p(concordance: float, x: np.ndarray, y: np.ndarray) -> float:
     """Two-sided p of a number of concordant minus discordant pairs: exact without ties in short series, else normal."""
-    n = len(x)
-    pairs = n * (n - 1) / 2
     tx, ty = _ties(x), _ties(y)
-    if not len(tx) and not len(ty):
-        less = round((pairs - abs(concordance)) / 2)
-        if n <= 33 or less <= 1:
-            return min(1.0, 2 * _inversions(n)[less])
-    m = n * (n - 1.0)
-    var = (m * (2 * n + 5) - sum((t * (t - 1) * (2 * t + 5)).sum() for t in (tx, ty))) / 18
-    var += (tx * (tx - 1)).sum() * (ty * (ty - 1)).sum() / (2 * m)
-    var += (tx * (tx - 1) * (tx - 2)).sum() * (ty * (ty - 1) * (ty - 2)).sum() / (9 * m * (n - 2)) if n > 2 else 0
-    return normal_two_sided(concordance / math.sqrt(var)) if var > 0 else math.nan
+    sums = [np.array([(t * (t - 1) * k).sum()]) for t in (tx, ty) for k in (2 * t + 5, 1, t - 2)]
+    return float(kendall_ps(np.array([float(concordance)]), np.array([len(x)]), *sums)[0])
+
+
+def kendall_ps(s: np.ndarray, n: np.ndarray, x5: np.ndarray, x1: np.ndarray, x2: np.ndarray, y5: np.ndarray, y1: np.ndarray, y2: np.ndarray) -> np.ndarray:
+    """p of many series at once, from their numbers of values and the sums of t(t-1)(2t+5), t(t-1) and t(t-1)(t-2) over ties in x and in y."""
+    p = np.full(len(s), np.nan)
+    less = np.rint((n * (n - 1.0) / 2 - np.abs(s)) / 2)
+    exact = (x1 == 0) & (y1 == 0) & (n > 1) & ((n <= 33) | (less <= 1))
+    for k in np.unique(n[exact]):
+        at = np.flatnonzero(exact & (n == k))
+        if k <= 33:
+            p[at] = np.minimum(1.0, 2 * np.asarray(_inversions(int(k)))[less[at].astype(int)])
+        else:  # one order, or k of them, of k!
+            p[at] = 2 * np.exp(np.log(np.where(less[at] == 0, 1.0, k)) - math.lgamma(k + 1))
+    rest = np.flatnonzero(~exact & (n > 1))
+    if len(rest):
+        m = n[rest] * (n[rest] - 1.0)
+        var = (m * (2 * n[rest] + 5) - x5[rest] - y5[rest]) / 18 + x1[rest] * y1[rest] / (2 * m)
+        var += np.where(n[rest] > 2, x2[rest] * y2[rest] / (9 * m * np.maximum(n[rest] - 2, 1)), 0)
+        z = np.abs(s[rest]) / np.sqrt(np.where(var > 0, var, np.nan)) / math.sqrt(2)
+        p[rest] = [math.erfc(v) if v == v else math.nan for v in z]
+    return p
+
+
+def _by_length(x: np.ndarray, y: np.ndarray, width: int, many, one) -> np.ndarray:
+    """Results of ``many`` on steps of short rows, which hold PAIRS pairs, and of ``one`` on each long row without its gaps."""
+    n = (~np.isnan(x) & ~np.isnan(y)).sum(axis=1)
+    out = np.full((len(x), width), np.nan)
+    short = np.flatnonzero(n <= SHORT)
+    if len(short):
+        # gaps go to the end, so that a short row is as wide as it has values
+        gaps = np.isnan(x[short]) | np.isnan(y[short])
+        order = np.argsort(gaps, axis=1, kind="stable")[:, : max(1, n[short].max())]
+        a, b = (np.take_along_axis(np.where(gaps, np.nan, v[short]), order, axis=1) for v in (x, y))
+        step = max(1, PAIRS // a.shape[1] ** 2)
+        for lo in range(0, len(short), step):
+            out[short[lo : lo + step]] = np.column_stack(many(a[lo : lo + step], b[lo : lo + step]))
+    for k in np.flatnonzero(n > SHORT):
+        ok = ~np.isnan(x[k]) & ~np.isnan(y[k])
+        out[k] = one(x[k, ok], y[k, ok])
+    return out
 
 
-def kendall(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """tau-b and p of every row; NaN where a side is constant or fewer than two values are there."""
+def _tie_sums(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of t(t-1)(2t+5), t(t-1) and t(t-1)(t-2) over the groups of t equal values of each row."""
+    t = (v[:, :, None] == v[:, None, :]).sum(axis=2).astype(float)
+    more = np.maximum(t - 1, 0)
+    return (more * (2 * t + 5)).sum(axis=1), more.sum(axis=1), (more * (t - 2)).sum(axis=1)
+
+
+def _kendall_short(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     i, j = np.triu_indices(x.shape[1], 1)
     sx, sy = np.sign(x[:, j] - x[:, i]), np.sign(y[:, j] - y[:, i])
     s = np.nansum(sx * sy, axis=1)
@@ -93,33 +248,37 @@ def kendall(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     nx, ny = ((sx != 0) & both).sum(axis=1), ((sy != 0) & both).sum(axis=1)
     with np.errstate(invalid="ignore", divide="ignore"):
         tau = s / np.sqrt(nx * ny.astype(float))
-    p = np.full(len(tau), np.nan)
-    for k in np.flatnonzero(~np.isnan(tau)):
-        ok = ~np.isnan(x[k]) & ~np.isnan(y[k])
-        p[k] = kendall_p(s[k], x[k, ok], y[k, ok])
-    return tau, p
+    p = kendall_ps(s, (~np.isnan(x)).sum(axis=1), *_tie_sums(x), *_tie_sums(y))
+    return tau, np.where(np.isnan(tau), np.nan, p)
+
+
+def kendall(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """tau-b and p of every row; NaN where a side is constant or fewer than two values are there."""
+    out = _by_length(x, y, 2, _kendall_short, kendall_long)
+    return out[:, 0], out[:, 1]
 
 
 def theil_sen(x: np.ndarray, y: np.ndarray, alpha: float = 0.05) -> np.ndarray:
     """Slope, intercept, and lower and upper limit of the slope, of every row."""
-    i, j = np.triu_indices(x.shape[1], 1)
-    out = np.full((len(x), 4), np.nan)
-    z = NORMAL.inv_cdf(alpha / 2)
-    for k in range(len(x)):
-        ok = ~np.isnan(x[k]) & ~np.isnan(y[k])
-        dx, dy = x[k, j] - x[k, i], y[k, j] - y[k, i]
-        use = ~np.isnan(dx * dy) & (dx != 0)
-        if not use.any():
-            continue
-        slopes = np.sort(dy[use] / dx[use])
-        n, m = ok.sum(), len(slopes)
-        ties = sum((t * (t - 1) * (2 * t + 5)).sum() for t in (_ties(x[k, ok]), _ties(y[k, ok])))
-        sigma = math.sqrt(max(0.0, (n * (n - 1) * (2 * n + 5) - ties) / 18))
-        slope = np.median(slopes)
-        hi = min(round((m - z * sigma) / 2), m - 1)
-        lo = max(round((m + z * sigma) / 2) - 1, 0)
-        out[k] = slope, np.median(y[k, ok]) - slope * np.median(x[k, ok]), slopes[lo], slopes[hi]
-    return out
+
+    def short(a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+        i, j = np.triu_indices(a.shape[1], 1)
+        n = (~np.isnan(a)).sum(axis=1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            dx = a[:, j] - a[:, i]
+            slopes = np.sort(np.where(dx == 0, np.nan, (b[:, j] - b[:, i]) / dx), axis=1)
+        m = (~np.isnan(slopes)).sum(axis=1)
+        if not slopes.shape[1]:
+            return [np.full(len(a), np.nan)] * 4
+        sigma = np.sqrt(np.maximum(0.0, (n * (n - 1.0) * (2 * n + 5) - _tie_sums(a)[0] - _tie_sums(b)[0]) / 18))
+        get = lambda rank: slopes[np.arange(len(a)), np.clip(rank, 0, slopes.shape[1] - 1)]
+        lo, hi = _limit_ranks(m, sigma, NORMAL.inv_cdf(alpha / 2))
+        slope = (get((m - 1) // 2) + get(m // 2)) / 2
+        middle = [np.sort(v, axis=1) for v in (a, b)]
+        mx, my = ((v[np.arange(len(v)), np.maximum(n - 1, 0) // 2] + v[np.arange(len(v)), np.minimum(n // 2, v.shape[1] - 1)]) / 2 for v in middle)
+        return [np.where(m > 0, v, np.nan) for v in (slope, my - slope * mx, get(lo), get(hi))]
+
+    return _by_length(x, y, 4, short, lambda a, b: theil_sen_long(a, b, alpha))
 
 
 def linear_fit(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float, float]:

@@ -1,11 +1,12 @@
-"""Trends, correlations, tests and change points of many short series.
+"""Trends, correlations, tests and change points of many series.
 
-Series are grouped by blocks of their keys' hash, so one call in a task works on a whole block as matrices.
+Series are dealt to tasks by their keys and put in order there; a task takes them from the stream in blocks of bounded
+rows, whatever its share is, and works on the series of a block as matrices of like lengths. Only a series itself has to fit.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,34 +17,68 @@ from pyspark.sql import types as T
 from emberline.functions import series_stats as N
 
 
-def _matrices(pdf: pd.DataFrame, keys: list[str], cols: list[str]) -> tuple[pd.DataFrame, list[np.ndarray]]:
-    """The distinct keys, and for each column a matrix of one row a key, filled with NaN at the end."""
-    pdf = pdf.sort_values([*keys, cols[0]], kind="stable")
-    groups = pdf.groupby(keys, sort=True, dropna=False)
+#: Rows of a block, unless one series has more.
+BLOCK_ROWS = 100_000
+
+
+def _blocks(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Whole series, in blocks of about BLOCK_ROWS rows, from batches in which the rows of a series follow each other."""
+    held, rows = [], 0
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        rows += len(batch)
+        if rows < BLOCK_ROWS:
+            continue
+        last = batch[keys].iloc[[-1]]
+        ends = [pd.concat([held[0][keys].iloc[[0]], last]), pd.concat([batch[keys].iloc[[0]], last])]
+        if len(ends[0].drop_duplicates()) == 1:
+            continue  # one series so far
+        whole = pd.concat(held, ignore_index=True)
+        number = whole.groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+        cut = int(np.argmax(number == number[-1]))
+        yield whole.iloc[:cut]
+        held, rows = [whole.iloc[cut:]], len(whole) - cut
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _matrices(pdf: pd.DataFrame, keys: list[str], cols: list[str]) -> Iterator[tuple[pd.DataFrame, list[np.ndarray]]]:
+    """The distinct keys, and for each column a matrix of one row a key, filled with NaN at the end. Series are together with those of like length."""
+    groups = pdf.groupby(keys, sort=False, dropna=False)
     row, slot = groups.ngroup().to_numpy(), groups.cumcount().to_numpy()
-    out = []
-    for c in cols:
-        m = np.full((row.max() + 1, slot.max() + 1), np.nan)
-        m[row, slot] = pdf[c].to_numpy(float)
-        out.append(m)
-    return pdf[keys].drop_duplicates().reset_index(drop=True), out
+    sizes = np.bincount(row)
+    kind = np.ceil(np.log2(sizes)).astype(int)
+    first = np.flatnonzero(slot == 0)
+    for k in np.unique(kind):
+        mine = np.flatnonzero(kind == k)
+        place = np.full(len(sizes), -1)
+        place[mine] = np.arange(len(mine))
+        at = np.flatnonzero(place[row] >= 0)
+        out = []
+        for c in cols:
+            m = np.full((len(mine), sizes[mine].max()), np.nan)
+            m[place[row[at]], slot[at]] = pdf[c].to_numpy(float)[at]
+            out.append(m)
+        yield pdf[keys].iloc[first[mine]].reset_index(drop=True), out
 
 
-def by_series(df: DataFrame, keys: list[str], cols: list[str], names: list[str], f: Callable[..., np.ndarray], blocks: int = 64) -> DataFrame:
+def by_series(df: DataFrame, keys: list[str], cols: list[str], names: list[str], f: Callable[..., np.ndarray]) -> DataFrame:
     """``keys`` and what ``f(matrix of each column)`` gives for each series, as doubles ``names``; NaN becomes null.
 
-    Rows with a missing value are left out, and series without any row are absent.
+    Rows with a missing value are left out, and series without any row are absent. A series is in the order of the first of ``cols``.
     """
     schema = T.StructType([df.schema[k] for k in keys] + [T.StructField(n, T.DoubleType()) for n in names])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        held, matrices = _matrices(pdf, keys, cols)
-        return pd.concat([held, pd.DataFrame(f(*matrices), columns=names)], axis=1)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for block in _blocks(batches, keys):
+            for held, matrices in _matrices(block, keys, cols):
+                yield pd.concat([held, pd.DataFrame(f(*matrices), columns=names)], axis=1)
 
     rows = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols]).dropna(subset=cols)
-    block = F.pmod(F.xxhash64(*keys), F.lit(blocks)).alias("__block")
-    out = rows.groupBy(block).applyInPandas(lambda pdf: run(pdf.drop(columns="__block", errors="ignore")), schema)
-    return out.withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in names})
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, *cols)
+    return ordered.mapInPandas(run, schema).withColumns({n: F.when(~F.isnan(n), F.col(n)) for n in names})
 
 
 def kendall_theilsen(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:

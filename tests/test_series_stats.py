@@ -79,3 +79,79 @@ def test_planted_break():
     cp, lo, hi = N.segmented(x, y)
     assert abs(cp - 2003) < 1 and lo < cp < hi and hi - lo < 2
     assert all(math.isnan(v) for v in N.segmented(x[:4], y[:4]))
+
+
+def one_by_one(x, y):
+    """tau, p, slope, intercept and limits from lists of all pairs."""
+    n = len(x)
+    i, j = np.triu_indices(n, 1)
+    s, tau = int((np.sign(x[j] - x[i]) * np.sign(y[j] - y[i])).sum()), None
+    use = x[j] != x[i]
+    tau = s / math.sqrt(use.sum() * (y[j] != y[i]).sum())
+    slopes = np.sort((y[j] - y[i])[use] / (x[j] - x[i])[use])
+    ties = [np.unique(v, return_counts=True)[1].astype(float) for v in (x, y)]
+    sigma = math.sqrt((n * (n - 1) * (2 * n + 5) - sum((t * (t - 1) * (2 * t + 5)).sum() for t in ties)) / 18)
+    m, z = len(slopes), N.NORMAL.inv_cdf(0.025)
+    lower, upper = slopes[max(round((m + z * sigma) / 2) - 1, 0)], slopes[min(round((m - z * sigma) / 2), m - 1)]
+    return s, tau, np.median(slopes), np.median(y) - np.median(slopes) * np.median(x), lower, upper
+
+
+def series(kind, n, seed):
+    rng = np.random.default_rng(seed)
+    x = np.sort(rng.integers(0, n // 2 + 1, n)).astype(float) if kind == "ties" else 1900.0 + np.arange(n)
+    y = rng.integers(0, 20, n).astype(float) if kind == "ties" else 0.003 * x + rng.normal(size=n)
+    order = rng.permutation(n)
+    return x[order], y[order]
+
+
+@pytest.mark.parametrize("kind", ["ties", "plain"])
+@pytest.mark.parametrize("n", [2, 3, 31, 33, 100, 700])
+def test_long_and_short_ways_agree_with_all_pairs(kind, n):
+    for seed in range(4):
+        x, y = series(kind, n, seed)
+        if len(np.unique(x)) < 2 or len(np.unique(y)) < 2:
+            continue
+        s, tau, slope, intercept, lower, upper = one_by_one(x, y)
+        p = N.kendall_p(s, x, y)
+        for got in ((*N.kendall_long(x, y), *N.theil_sen_long(x, y)), (*(v[0] for v in N.kendall(x[None], y[None])), *N.theil_sen(x[None], y[None])[0])):
+            assert got == pytest.approx((tau, p, slope, intercept, lower, upper), rel=1e-9, abs=1e-9)
+
+
+@pytest.mark.parametrize("n", [1, 2, 31, 32, 33, 64, 65, 1000])
+def test_discordant_pairs(n):
+    v = np.random.default_rng(n).integers(0, max(1, n // 2), n)
+    pairs = list(itertools.combinations(v.tolist(), 2))
+    assert N.discordant(v) == sum(a > b for a, b in pairs) and N.discordant(v, True) == sum(a >= b for a, b in pairs)
+
+
+def test_a_batch_gives_each_row_its_own_figures():
+    rng = np.random.default_rng(8)
+    x, y = np.full((60, 40), np.nan), np.full((60, 40), np.nan)
+    for k in range(60):
+        n = int(rng.integers(0, 40))
+        x[k, :n], y[k, :n] = np.arange(n), rng.integers(0, 6 if k % 2 else 10**6, n)
+        y[k, rng.random(40) < 0.1] = np.nan
+    tau, p = N.kendall(x, y)
+    sen = N.theil_sen(x, y)
+    for k in range(60):
+        ok = ~np.isnan(x[k]) & ~np.isnan(y[k])
+        if ok.sum() > 1 and len(np.unique(y[k, ok])) > 1:
+            s, *want = one_by_one(x[k, ok], y[k, ok])
+            assert (tau[k], *sen[k]) == pytest.approx(tuple(want)) and p[k] == pytest.approx(N.kendall_p(s, x[k, ok], y[k, ok]))
+        else:
+            assert np.isnan(tau[k]) and np.isnan(p[k])
+
+
+def test_a_series_of_100_000_points_in_bounded_memory():
+    import tracemalloc
+
+    n = 100_000
+    x = np.arange(n, dtype=float)
+    y = 0.25 * x + np.random.default_rng(1).normal(scale=1000, size=n)
+    tracemalloc.start()
+    tau, p = N.kendall_long(x, y)
+    slope, intercept, lower, upper = N.theil_sen_long(x, y)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100e6 and tau > 0.8 and p < 1e-9
+    assert lower < slope < upper and abs(slope - 0.25) < 1e-3 and upper - lower < 1e-3
