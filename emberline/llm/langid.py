@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from emberline.llm import texts
 
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = re.compile(r"[^\W\d_]+")  # and signs such as ½ and Ⅷ, which are numbers and no letters
 GRAM, LENGTH = 4, 300
 #: Documents of a language that its profile is learnt from at most, about.
 MOST_LABELLED = 4_000
@@ -37,6 +37,16 @@ MOST_LABELLED = 4_000
 KNOWN = 200_000
 
 
+def words_of(text: str) -> Counter:
+    """How often each word, a run of letters, is in the lower-cased text."""
+    found = Counter(LETTERS.findall(text.lower()))
+    for w in [w for w in found if not w.isalpha()]:
+        n = found.pop(w)
+        for part in "".join(c if c.isalpha() else " " for c in w).split():
+            found[part] += n
+    return found
+
+
 class Grams:
     """n-grams of words as numbers, with what ranks need; remembered for the words seen lately."""
 
@@ -72,7 +82,7 @@ class Grams:
 
     def distances(self, text: str) -> np.ndarray | None:
         """Out-of-place distance to each language, as a share of the most possible; None without a letter."""
-        words = Counter(LETTERS.findall(text.lower()))
+        words = words_of(text)
         if not words:
             return None
         if len(self.number) > KNOWN or len(self.of_word) > KNOWN:
@@ -107,14 +117,14 @@ def learn(docs: DataFrame, most: int = MOST_LABELLED) -> dict[str, dict[str, int
         return {}
     shares = spark.createDataFrame([(r["lang"], min(1.0, most / r["n"])) for r in counts], "lang string, share double")
     sample = known.join(F.broadcast(shares), "lang").filter(
-        F.coalesce(texts.hash_share(F.col("doc_id"), "langid"), F.lit(0.0)) < F.col("share")
+        texts.hash_share(F.xxhash64("doc_id", "text"), "langid") < F.col("share")
     )
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: dict[str, Counter] = defaultdict(Counter)
         for b in batches:
             for lang, text in zip(b["lang"], b["text"]):
-                words[lang].update(LETTERS.findall((text or "").lower()))
+                words[lang].update(words_of(text or ""))
         for lang, c in words.items():
             total: Counter = Counter()
             for w, n in c.items():

@@ -108,3 +108,18 @@ def test_cumulative_link_orders_thresholds():
 
 def test_toxicity_sample_is_not_lowered():
     assert toxicity.MOST_LABELLED >= 12_000
+
+
+def test_numbers_that_look_like_letters_are_none(spark, odd):
+    rows = [(i, t, None) for i, t in enumerate(["½ ²", "Ⅷ", "①", "12 ٣", "½a", "ª", "٣ب"])]
+    df = odd.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(100 + i, t, la) for i, t, la in rows], "doc_id long, text string, lang string"))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(df).collect()}
+    assert all(got[100 + i] == ("und", 0.0) for i in range(4)) and all(got[100 + i][0] != "und" for i in range(4, 7))
+    assert langid.words_of("½a b½b a") == {"a": 2, "b": 2}
+
+
+def test_rows_without_an_id_do_not_lengthen_the_sample(spark):
+    df = spark.sql("SELECT CAST(IF(id % 3 = 0, NULL, 7) AS BIGINT) AS doc_id, concat('word ', CAST(id AS STRING)) AS text, 'en' AS lang FROM range(3000)")
+    assert langid.learn(df, 100)["en"]
+    share = df.filter(langid.texts.hash_share(langid.F.xxhash64("doc_id", "text"), "langid") < 100 / 3000).count()
+    assert 60 < share < 140
