@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.schemas import SCENE
+from emberline.sources import files
 
 
 def nearest_pixel(df: DataFrame, lat: float, lon: float, lat_radius: float, lon_radius: float) -> DataFrame:
@@ -164,37 +165,61 @@ def scanline_ok(scan: DataFrame, flags: list[str], references: list[str]) -> Dat
 
 
 def process_orbits(px: DataFrame, per_orbit, schema: str) -> tuple[DataFrame, DataFrame]:
-    """``per_orbit`` (pandas in, pandas out) on each orbit: the good rows, and (fn, error) of the orbits that failed."""
-    body = ", ".join(f"{c.strip()}" for c in schema.split(","))
+    """``per_orbit`` (pandas in, pandas out) on each orbit: the good rows, and (fn, error) of the orbits that failed.
+
+    Each orbit is worked on once: what it gives, rows or an error, is written to the shared folder, and both results are read from there. A failed orbit
+    leaves nothing but its error; an orbit that gives no row is in neither.
+    """
+    names = [c.split()[0] for c in schema.split(",")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         try:
-            return per_orbit(pdf).assign(status="ok", error=None)
+            out = per_orbit(pdf).assign(__failed=None, __error=None)
         except Exception as e:  # a log of what failed is the result here
-            return pd.DataFrame({"fn": [pdf["fn"].iloc[0]], "status": ["failed"], "error": [f"{type(e).__name__}: {e}"]})
+            out = pd.DataFrame({"__failed": [pdf["fn"].iloc[0]], "__error": [f"{type(e).__name__}: {e}"]})
+        out = out.reindex(columns=[*names, "__failed", "__error"])
+        return out.astype(object).where(out.notna(), None)
+
+    kind = px.schema["fn"].dataType.simpleString()
+    done = files.stored(px.groupBy("fn").applyInPandas(run, f"{schema}, __failed {kind}, __error string"), "orbits")
+    return done.filter("__error IS NULL").drop("__failed", "__error"), done.filter("__error IS NOT NULL").select(F.col("__failed").alias("fn"), F.col("__error").alias("error"))
 
-    names = [c.split()[0] for c in body.split(",")]
-    out = px.groupBy("fn").applyInPandas(lambda p: run(p).reindex(columns=[*names, "status", "error"]), f"{body}, status string, error string")
-    return out.filter("status = 'ok'").drop("status", "error"), out.filter("status = 'failed'").select("fn", "error")
+
+#: Seconds of lines that are put in order together.
+STITCH_SECONDS = 64
 
 
 def stitch_orbits(scan: DataFrame, tolerance: float = 0.5) -> DataFrame:
     """Scanlines (platform, fn, y, t in seconds, ok, value) of overlapping files as one series.
 
     In the overlap of a file with the next one, a bad line takes the nearest good line of the next file within ``tolerance``;
-    the next file contributes what lies after the end of the file before it. ``used_fn`` names the file a line comes from.
+    the next file contributes what lies after the end of the file before it. ``used_fn`` names the file a line comes from. Of two lines as near the
+    earlier one is taken, of good lines at one time the smaller value. Nearest lines are found in stretches of time, by the last good line before and
+    the first one after a bad line.
     """
     by = Window.partitionBy("platform").orderBy("start", "fn")
-    files = scan.groupBy("platform", "fn").agg(F.min("t").alias("start"), F.max("t").alias("end"))
-    files = files.withColumns({"next_fn": F.lead("fn").over(by), "next_start": F.lead("start").over(by), "before": F.lag("end").over(by)})
-    lines = scan.join(F.broadcast(files.select("platform", "fn", "next_fn", "next_start", "before")), ["platform", "fn"])  # one row a file
+    spans = scan.groupBy("platform", "fn").agg(F.min("t").alias("start"), F.max("t").alias("end"))
+    spans = spans.withColumns({"next_fn": F.lead("fn").over(by), "next_start": F.lead("start").over(by), "before": F.lag("end").over(by)})
+    lines = scan.join(F.broadcast(spans.select("platform", "fn", "next_fn", "next_start", "before")), ["platform", "fn"])  # one row a file
     lines = lines.filter(F.col("before").isNull() | (F.col("t") > F.col("before")))
     bad = ~F.col("ok") & F.col("next_start").isNotNull() & (F.col("t") >= F.col("next_start"))
-    second = F.floor("t")
-    wanted = lines.filter(bad).select("platform", "fn", "y", "t", "next_fn", F.explode(F.array(second - 1, second, second + 1)).alias("sec"))
-    good = scan.filter("ok").select("platform", F.col("fn").alias("next_fn"), F.floor("t").alias("sec"), F.col("t").alias("t2"), F.col("value").alias("value2"))
-    gap = F.abs(F.col("t") - F.col("t2"))
-    best = wanted.join(good, ["platform", "next_fn", "sec"]).filter(gap <= tolerance).groupBy("platform", "fn", "y").agg(F.min_by(F.struct("next_fn", "value2"), F.struct(gap, "t2")).alias("new"))
+    part = lambda t: F.floor(t / STITCH_SECONDS)
+    wanted = lines.filter(bad).select("platform", "next_fn", part(F.col("t")).alias("part"), "t", F.lit(True).alias("wanted"), "fn", "y")
+    good = scan.filter("ok").groupBy("platform", F.col("fn").alias("next_fn"), "t").agg(F.min("value").alias("value"))
+    # a good line near the end of a stretch is in the next one too
+    parts = F.array_distinct(F.array(part(F.col("t") - tolerance), part(F.col("t") + tolerance)))
+    good = good.select("platform", "next_fn", F.explode(parts).alias("part"), "t", F.lit(False).alias("wanted"), F.struct("t", "value").alias("line"))
+    order = Window.partitionBy("platform", "next_fn", "part").orderBy("t", "wanted")
+    both = wanted.unionByName(good, allowMissingColumns=True).withColumns(
+        {
+            "b": F.last("line", True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
+            "a": F.first("line", True).over(order.rowsBetween(0, Window.unboundedFollowing)),
+        }
+    )
+    gaps = {"gap_b": F.coalesce(F.col("t") - F.col("b.t"), F.lit(float("inf"))), "gap_a": F.coalesce(F.col("a.t") - F.col("t"), F.lit(float("inf")))}
+    near = both.filter("wanted").withColumns(gaps).filter(F.least("gap_a", "gap_b") <= tolerance)
+    value = F.when(F.col("gap_b") <= F.col("gap_a"), F.col("b.value")).otherwise(F.col("a.value"))
+    best = near.select("platform", "fn", "y", F.struct("next_fn", value.alias("value2")).alias("new"))
     out = lines.join(best, ["platform", "fn", "y"], "left")
     return out.select(
         "platform", "fn", "y", "t", (F.col("ok") | F.col("new").isNotNull()).alias("ok"), F.coalesce("new.next_fn", "fn").alias("used_fn"),

@@ -98,7 +98,7 @@ def i09_scanline_ok(spark, d):
     return I.scanline_ok(s, ["flag"], ["reading"]).select("event_id")
 
 
-@query()
+@query(f"WITH {_BASE} SELECT fn, CASE WHEN fn % 2 = 0 THEN max(b3) END AS warm, CASE WHEN fn % 2 = 1 THEN 'ValueError: no thermal band' END AS error FROM p0 GROUP BY fn")
 def a09_process_orbits(spark, d):
     """Each orbit worked on alone; the orbits that fail are logged with their error."""
     px = _pixels(spark, d).withColumn("b4", F.when(F.col("fn") % 2 == 0, F.col("b4")))
@@ -112,7 +112,17 @@ def a09_process_orbits(spark, d):
     return good.unionByName(failed, allowMissingColumns=True)
 
 
-@query()
+_LINES = f"""{Q.SENSOR}, e0 AS (SELECT event_id % 3 AS platform, event_id, epoch_us(ts) / 1e6 AS t, CAST(floor(epoch_us(ts) / 1e6 / 86400) AS BIGINT) AS block FROM sen),
+e1 AS (SELECT *, unnest(list_distinct([block, CAST(floor((t + 7200) / 86400) AS BIGINT)])) AS fn FROM e0),
+sl AS (SELECT platform, fn, event_id AS y, t, event_id % 10 <> 0 OR fn > block AS ok, CAST(event_id AS DOUBLE) AS value FROM e1),
+sf AS (SELECT *, lead(fn) OVER w AS next_fn, lead(s) OVER w AS next_start, lag(e) OVER w AS before FROM (SELECT platform, fn, min(t) AS s, max(t) AS e FROM sl GROUP BY ALL) WINDOW w AS (PARTITION BY platform ORDER BY s, fn)),
+sk AS (SELECT sl.*, next_fn, next_start FROM sl JOIN sf USING (platform, fn) WHERE before IS NULL OR t > before),
+sb AS (SELECT k.platform, k.fn, k.y, arg_min(g.value, [abs(k.t - g.t), g.t, g.value]) AS value2 FROM sk k JOIN sl g ON g.platform = k.platform AND g.fn = k.next_fn AND g.ok AND g.t BETWEEN k.t - 1 AND k.t + 1
+  WHERE NOT k.ok AND k.t >= k.next_start AND abs(k.t - g.t) <= 0.5 GROUP BY ALL)"""
+
+
+@query(f"""WITH {_LINES} SELECT k.platform, k.fn, k.y, k.t, k.ok OR b.y IS NOT NULL AS ok, CASE WHEN b.y IS NOT NULL THEN k.next_fn ELSE k.fn END AS used_fn, coalesce(b.value2, k.value) AS value
+FROM sk k LEFT JOIN sb b ON b.platform = k.platform AND b.fn = k.fn AND b.y = k.y""")
 def c13_stitch_orbits(spark, d):
     """Overlapping files of scanlines as one series of each platform."""
     sec = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6

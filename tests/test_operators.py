@@ -187,6 +187,42 @@ def test_stitching(spark):
     assert mended.ok and mended.used_fn == "b" and mended.value == 102.0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_stitching_by_all_pairs(spark, seed):
+    """Two long files that overlap, with many bad lines, equal times and lines on the edges of stretches of time."""
+    rng = np.random.default_rng(seed)
+    lines = [("N", "a", i, float(t), bool(rng.random() < 0.5), float(i)) for i, t in enumerate(np.sort(rng.integers(0, 800, 300)) / 2)]
+    lines += [("N", "b", 1000 + i, 200 + float(t), bool(rng.random() < 0.4), 1000.0 + i) for i, t in enumerate(np.sort(rng.integers(0, 900, 300)) / 4)]
+    lines += [("N", "b", 2000, 255.75, True, 2000.0), ("N", "b", 2001, 256.25, True, 2001.0), ("N", "a", 2002, 256.0, False, 2002.0)]
+    got = {(r.fn, r.y): (r.ok, r.used_fn, r.value) for r in scenes.stitch_orbits(spark.createDataFrame(lines, "platform string, fn string, y int, t double, ok boolean, value double")).collect()}
+    end, start = max(r[3] for r in lines if r[1] == "a"), min(r[3] for r in lines if r[1] == "b")
+    want = {}
+    for _, fn, y, t, ok, value in lines:
+        if fn == "b" and t <= end:
+            continue
+        near = [(abs(t - r[3]), r[3], r[5]) for r in lines if r[1] == "b" and r[4] and abs(t - r[3]) <= 0.5] if fn == "a" and not ok and t >= start else []
+        want[fn, y] = (True, "b", min(near)[2]) if near else (ok, fn, value)
+    assert got == want and want["a", 2002] == (True, "b", min((abs(256.0 - r[3]), r[3], r[5]) for r in lines if r[1] == "b" and r[4])[2])
+    assert sum(v[1] == "b" and k[0] == "a" for k, v in want.items()) > 20
+
+
+def test_each_orbit_is_worked_on_once(spark, tmp_path):
+    px = spark.createDataFrame([(i % 6, float(i)) for i in range(60)], "fn long, v double")
+    folder = str(tmp_path)
+
+    def one(pdf):
+        with open(f"{folder}/{pdf['fn'].iloc[0]}", "a") as f:
+            f.write("x")
+        if pdf["fn"].iloc[0] == 5:
+            raise KeyError("no band")
+        return pdf.head(0 if pdf["fn"].iloc[0] == 4 else 2)
+
+    good, failed = scenes.process_orbits(px, one, "fn long, v double")
+    assert good.count() == 8 and failed.count() == 1 and good.unionByName(failed, allowMissingColumns=True).count() == 9
+    assert [(r.fn, r.error) for r in failed.collect()] == [(5, "KeyError: 'no band'")]
+    assert {p.name: p.read_text() for p in tmp_path.iterdir()} == {str(i): "x" for i in range(6)}
+
+
 def test_failed_orbits_are_logged(spark):
     df = spark.createDataFrame([("a", 1.0), ("b", -1.0)], "fn string, v double")
 
