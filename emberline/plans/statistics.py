@@ -39,10 +39,36 @@ def h01_kendall_theilsen(spark, d):
     return _R6(S.kendall_theilsen(_series(spark, d), ["gfed"], "year", "count"), "tau", "slope", "intercept").select("gfed", "tau", "slope", "intercept")
 
 
-@query()
+def _erfc(x: str) -> str:
+    """1 - erf of a number from 0 on, by a series of positive terms."""
+    v = f"greatest(1e-300::DOUBLE, {x})"
+    terms = f"list_transform(range(0, 150), lambda k: exp((2 * k + 1) * ln({v}) + 2 * k * ln(2) + lgamma(k + 1) - lgamma(2 * k + 2)))"
+    return f"greatest(0, 1 - 2 / sqrt(pi()) * exp(-{v} * {v}) * list_sum({terms}))"
+
+
+#: Share of the orders of n things with k inversions, by adding one thing at a time.
+_ORDERS = (
+    "mh1 AS MATERIALIZED (SELECT 0::BIGINT AS k, 1::DOUBLE AS w), "
+    + ", ".join(f"mh{n} AS MATERIALIZED (SELECT k + j AS k, sum(w) / {n} AS w FROM mh{n - 1}, range({n}) r(j) GROUP BY k + j)" for n in range(2, 34))
+    + ", mh AS (SELECT things, k, sum(w) OVER (PARTITION BY things ORDER BY k) AS upto FROM ("
+    + " UNION ALL ".join(f"SELECT {n} AS things, * FROM mh{n}" for n in range(1, 34))
+    + "))"
+)
+_LIMITS = f"""{_S}, {_pairs("rs", "gfed", "year", "count")}, {_ORDERS},
+md AS (SELECT gfed, quantile_cont(year, 0.5) AS mx, quantile_cont(count, 0.5) AS my, count(*) AS n FROM rs GROUP BY ALL),
+tt AS (SELECT gfed, sum(t * (t - 1) * (2 * t + 5)) AS t5 FROM (SELECT gfed, count(*) AS t FROM rs GROUP BY gfed, count) GROUP BY gfed),
+sp AS (SELECT gfed, sum(sx * sy) AS s, list_sort(list(s) FILTER (WHERE s IS NOT NULL)) AS slopes FROM pq GROUP BY gfed),
+st AS (SELECT *, n * (n - 1) * (2 * n + 5) - t5 AS v18, len(slopes) AS m, sqrt(greatest(0, n * (n - 1) * (2 * n + 5) - t5) / 18.0::DOUBLE) AS sigma, 1.9599639845400538::DOUBLE AS z
+  FROM tk JOIN md USING (gfed) JOIN tt USING (gfed) JOIN sp USING (gfed)),
+pv AS (SELECT st.*, CASE WHEN tau IS NULL THEN NULL WHEN t5 = 0 AND n <= 33 THEN least(1, 2 * upto) ELSE {_erfc("abs(s) / sqrt(v18 / 18.0::DOUBLE) / sqrt(2)")} END AS p
+  FROM st LEFT JOIN mh ON mh.things = st.n AND mh.k = CAST((st.n * (st.n - 1) / 2 - abs(s)) / 2 AS BIGINT))"""
+
+
+@query(f"""WITH {_LIMITS} SELECT gfed, round(tau, 6) AS tau, round(p, 6) AS p, round(slope, 6) AS slope, round(my - slope * mx, 6) AS intercept,
+round(slopes[1 + greatest(CAST(round_even((m - z * sigma) / 2, 0) AS BIGINT) - 1, 0)], 6) AS lower, round(slopes[1 + least(CAST(round_even((m + z * sigma) / 2, 0) AS BIGINT), m - 1)], 6) AS upper FROM pv""")
 def h01_kendall_theilsen_limits(spark, d):
-    """The same trends with p and the limits of the slope (compared with brute force in the tests)."""
-    return S.kendall_theilsen(_series(spark, d), ["gfed"], "year", "count")
+    """The same trends with p (exact where nothing is tied) and the limits of the slope."""
+    return _R6(S.kendall_theilsen(_series(spark, d), ["gfed"], "year", "count"), "tau", "p", "slope", "intercept", "lower", "upper")
 
 
 _G = f"""{GRID}, c2 AS (SELECT (y // 20) * 1000 + x // 20 AS cell, year, sum(value) AS value FROM gr GROUP BY ALL),
@@ -162,10 +188,35 @@ def h12_era_u(spark, d):
     return S.era_tests(_eras(spark, d), ["gfed"], ["days_mean", "days_median"]).select("gfed", "metric", "u")
 
 
-@query()
+#: Ways to choose some of the ranks 0, 1, ... by how many are chosen and their sum, by adding one rank at a time.
+_CHOICES = (
+    "ch0 AS MATERIALIZED (SELECT 0::BIGINT AS a, 0::BIGINT AS total, 1::DOUBLE AS w), "
+    + ", ".join(f"ch{n} AS MATERIALIZED (SELECT a, total, sum(w) AS w FROM (SELECT * FROM ch{n - 1} UNION ALL SELECT a + 1, total + {n - 1}, w FROM ch{n - 1}) GROUP BY a, total)" for n in range(1, 32))
+    + ", ch AS (SELECT n, a, total - a * (a - 1) // 2 AS u, w / sum(w) OVER (PARTITION BY n, a) AS share FROM ("
+    + " UNION ALL ".join(f"SELECT {n} AS n, * FROM ch{n}" for n in range(2, 32))
+    + "))"
+)
+#: Probability that a t of nu degrees of freedom lies within -t and t, by its finite sums.
+_WITHIN = """CASE WHEN nu % 2 = 0 THEN sin(th) * list_sum(list_transform(range(0, nu // 2), lambda k: exp(lgamma(2 * k + 1) - 2 * k * ln(2) - 2 * lgamma(k + 1) + 2 * k * ln(cos(th)))))
+  ELSE 2 / pi() * (th + sin(th) * coalesce(list_sum(list_transform(range(0, (nu - 1) // 2), lambda k: exp(2 * k * ln(2) + 2 * lgamma(k + 1) - lgamma(2 * k + 2) + (2 * k + 1) * ln(cos(th))))), 0)) END"""
+_ERAS = f"""{_LENGTH}, {_CHOICES},
+e AS (SELECT gfed, CASE WHEN year < 2001 THEN 1 ELSE 2 END AS era, unnest(['days_mean', 'days_median']) AS metric, unnest([days_mean, days_median]) AS v FROM sl),
+uu AS (SELECT a.gfed, a.metric, CAST(sum(CASE WHEN a.v > b.v THEN 1.0 WHEN a.v = b.v THEN 0.5 ELSE 0 END) AS DOUBLE) AS u FROM e a JOIN e b ON a.gfed = b.gfed AND a.metric = b.metric AND a.era = 1 AND b.era = 2 GROUP BY ALL),
+nn AS (SELECT gfed, metric, count(*) FILTER (WHERE era = 1) AS n1, count(*) FILTER (WHERE era = 2) AS n2 FROM e GROUP BY ALL),
+et AS (SELECT gfed, metric, sum(t ** 3 - t) AS t3 FROM (SELECT gfed, metric, count(*) AS t FROM e GROUP BY gfed, metric, v) GROUP BY ALL),
+up AS (SELECT *, greatest(u, n1 * n2 - u) AS top, sqrt(n1 * n2 / 12.0::DOUBLE * (n1 + n2 + 1 - t3 / ((n1 + n2) * (n1 + n2 - 1)))) AS s FROM uu JOIN nn USING (gfed, metric) JOIN et USING (gfed, metric)),
+ex AS (SELECT gfed, metric, sum(share) AS tail FROM up JOIN ch ON ch.n = n1 + n2 AND ch.a = n1 AND ch.u >= CAST(floor(top) AS BIGINT) GROUP BY ALL),
+zv AS (SELECT gfed, metric, era, abs(v - quantile_cont(v, 0.5) OVER (PARTITION BY gfed, metric, era)) AS z FROM e),
+zm AS (SELECT *, avg(z) OVER (PARTITION BY gfed, metric) AS whole, avg(z) OVER (PARTITION BY gfed, metric, era) AS own FROM zv),
+lv AS (SELECT gfed, metric, count(*) - 2 AS nu, (count(*) - 2) * sum((own - whole) ** 2) / nullif(sum((z - own) ** 2), 0) AS f FROM zm GROUP BY ALL),
+lp AS (SELECT gfed, metric, 1 - {_WITHIN} AS levene_p FROM (SELECT gfed, metric, nu, atan(sqrt(f / nu)) AS th FROM lv WHERE nu > 0 AND f IS NOT NULL))"""
+
+
+@query(f"""WITH {_ERAS} SELECT gfed, metric, u, round(CASE WHEN t3 = 0 AND least(n1, n2) <= 8 THEN least(1, 2 * tail) WHEN s > 0 THEN least(1, {_erfc("greatest(0, top - n1 * n2 / 2 - 0.5) / s / sqrt(2)")}) ELSE 1 END, 6) AS u_p, round(levene_p, 6) AS levene_p
+FROM up LEFT JOIN ex USING (gfed, metric) LEFT JOIN lp USING (gfed, metric)""")
 def h12_era_tests(spark, d):
-    """The same tests with their probabilities."""
-    return S.era_tests(_eras(spark, d), ["gfed"], ["days_mean", "days_median"])
+    """The same tests with their probabilities, exact for small samples without ties."""
+    return _R6(S.era_tests(_eras(spark, d), ["gfed"], ["days_mean", "days_median"]), "u_p", "levene_p")
 
 
 _AR = f"""{Q.H}, {Q.CELLS}, ca AS (SELECT (9000 - lat_ix) // 10 AS y, lon_ix // 10 AS x, gfed, CASE WHEN lc % 3 = 0 THEN NULL ELSE (lc - 8) / 10.0::DOUBLE END AS fire, (lc % 5 - 2) / 10.0::DOUBLE AS weather,
