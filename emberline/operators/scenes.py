@@ -70,8 +70,8 @@ def buffer_mask(px: DataFrame) -> DataFrame:
 
 def potential_fires(px: DataFrame, conf: dict = SCENE, tiles: int = SCENE["tiles"]) -> DataFrame:
     """candidate 1 for pixels above their tile's percentile in b3 and in b34, clear, and warm against b4."""
-    width = F.max("x").over(Window.partitionBy("fn")) + 1
-    tiled = px.withColumn("__w", width).withColumns(
+    width = px.groupBy("fn").agg((F.max("x") + 1).alias("__w"))  # a row for each orbit
+    tiled = px.join(width, "fn").withColumns(
         {"tile_r": slot(F.col("y") - F.col("row_min"), F.col("n_rows"), tiles), "tile_c": slot(F.col("x"), F.col("__w"), tiles)}
     )
     keys = ["fn", "subset_no", "tile_r", "tile_c"]
@@ -80,39 +80,67 @@ def potential_fires(px: DataFrame, conf: dict = SCENE, tiles: int = SCENE["tiles
     return tiled.join(cut, keys).withColumn("candidate", F.coalesce(test, F.lit(False)).cast("int")).drop("__p3", "__p34", "__w")
 
 
+#: Rows of pixels that the contextual test takes together, besides those around them.
+CONTEXT_ROWS = 256
+#: Smallest and largest reach of a window, and candidates whose windows are held at one time.
+REACHES, CANDIDATES = (2, 7), 4096
+
+
+def _sums(mask: np.ndarray, pad: int) -> np.ndarray:
+    """Sums of ``mask`` over all rectangles from the first corner on, with a border of ``pad`` empty pixels."""
+    return np.pad(np.pad(mask.astype(np.int64), pad).cumsum(axis=0).cumsum(axis=1), ((1, 0), (1, 0)))
+
+
+def _within(sums: np.ndarray, y: np.ndarray, x: np.ndarray, reach: int) -> np.ndarray:
+    """How much of the mask lies within ``reach`` of each padded place."""
+    top, left, bottom, right = y - reach, x - reach, y + reach + 1, x + reach + 1
+    return sums[bottom, right] - sums[top, right] - sums[bottom, left] + sums[top, left]
+
+
 def contextual_test(b3: np.ndarray, b34: np.ndarray, candidate: np.ndarray, cloud: np.ndarray, conf: dict = SCENE) -> list[tuple[int, int, str]]:
-    """(row, column, status) of every candidate of a segment: fire, not fire, or undetermined.
+    """(row, column, status) of every candidate: fire, not fire, or undetermined.
 
     The background is the window without the 3 x 3 pixels around the candidate; candidates, clouds and missing pixels are no background.
-    The window grows from 5 x 5 to 15 x 15 until enough of it is background.
+    The window grows from 5 x 5 to 15 x 15 until enough of it is background. Summed-area tables of the pixels that are there and of the
+    usable ones give the shares of all windows of all candidates, and so the smallest that suffices; candidates of one window size are then tested together.
     """
+    pad = REACHES[1]
     there = ~np.isnan(b3)
     usable = there & (candidate == 0) & (cloud == 0)
-    out = []
-    for y, x in zip(*np.nonzero(candidate == 1)):
-        status = "undetermined"
-        for reach in range(2, 8):
-            rows, cols = slice(max(0, y - reach), y + reach + 1), slice(max(0, x - reach), x + reach + 1)
-            ring = np.ones(b3[rows, cols].shape, bool)
-            ring[max(0, y - 1 - rows.start) : y + 2 - rows.start, max(0, x - 1 - cols.start) : x + 2 - cols.start] = False
-            possible = (ring & there[rows, cols]).sum()
-            good = ring & usable[rows, cols]
-            if possible and good.sum() / possible > conf["background"]:
-                passed = True
-                for band in (b34, b3):
-                    v = band[rows, cols][good]
-                    mean = v.mean()
-                    spread = np.abs(v - mean).mean()
-                    least = mean + (conf["factor"] + spread if spread < 1 else conf["factor"] * spread)
-                    passed &= bool(band[y, x] >= least)
-                status = "fire" if passed else "not fire"
-                break
-        out.append((int(y), int(x), status))
-    return out
+    ys, xs = np.nonzero(candidate == 1)
+    status = np.full(len(ys), "undetermined", object)
+    y, x = ys + pad, xs + pad
+    possible, good = _sums(there, pad), _sums(usable, pad)
+    reach = np.zeros(len(ys), int)
+    for r in range(REACHES[1], REACHES[0] - 1, -1):
+        have, most = (_within(t, y, x, r) - _within(t, y, x, 1) for t in (good, possible))
+        reach[have / np.maximum(most, 1) > conf["background"]] = r
+    wide = {k: np.pad(v, pad, constant_values=fill) for k, v, fill in (("b3", b3, np.nan), ("b34", b34, np.nan), ("usable", usable, False))}
+    for r in np.unique(reach[reach > 0]):
+        window = np.arange(-r, r + 1)
+        outer = (np.maximum(np.abs(window[:, None]), np.abs(window[None, :])) > 1)[None]
+        all_of = np.flatnonzero(reach == r)
+        for of in np.split(all_of, range(CANDIDATES, len(all_of), CANDIDATES)):
+            at = y[of, None, None] + window[None, :, None], x[of, None, None] + window[None, None, :]
+            use = wide["usable"][at] & outer
+            n = use.sum(axis=(1, 2))
+            passed = np.ones(len(of), bool)
+            for band, own in (("b34", b34), ("b3", b3)):
+                v = np.where(use, wide[band][at], 0.0)
+                mean = v.sum(axis=(1, 2)) / n
+                spread = np.where(use, np.abs(v - mean[:, None, None]), 0.0).sum(axis=(1, 2)) / n
+                least = mean + np.where(spread < 1, conf["factor"] + spread, conf["factor"] * spread)
+                passed &= own[ys[of], xs[of]] >= least
+            status[of] = np.where(passed, "fire", "not fire")
+    return [(int(a), int(b), s) for a, b, s in zip(ys, xs, status)]
 
 
 def contextual_fires(px: DataFrame, conf: dict = SCENE) -> DataFrame:
-    """(fn, subset_no, y, x, status) of the candidates; one group is one segment, a few megabytes by the segment count."""
+    """(fn, subset_no, y, x, status) of the candidates.
+
+    A group is a strip of CONTEXT_ROWS rows of a segment with the rows around it that windows reach, so its size does not depend on the segment's.
+    """
+    kinds = {c: px.schema[c].dataType.simpleString() for c in ("fn", "y", "x")}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         y0, x0 = pdf["y"].min(), pdf["x"].min()
@@ -124,13 +152,15 @@ def contextual_fires(px: DataFrame, conf: dict = SCENE) -> DataFrame:
             a[at] = pdf[c].to_numpy(float)
             return a
 
+        first = pdf["strip"].iloc[0] * CONTEXT_ROWS
         found = contextual_test(image("b3", np.nan), image("b34", np.nan), image("candidate", 0), image("cloud_buffered", 0), conf)
-        rows = [(pdf["fn"].iloc[0], pdf["subset_no"].iloc[0], y + y0, x + x0, s) for y, x, s in found]
+        rows = [(pdf["fn"].iloc[0], pdf["subset_no"].iloc[0], y + y0, x + x0, s) for y, x, s in found if first <= y + y0 < first + CONTEXT_ROWS]
         return pd.DataFrame(rows, columns=["fn", "subset_no", "y", "x", "status"])
 
-    kept = px.select("fn", "subset_no", "y", "x", "b3", "b34", "candidate", "cloud_buffered")
-    schema = f"fn {px.schema['fn'].dataType.simpleString()}, subset_no int, y {px.schema['y'].dataType.simpleString()}, x {px.schema['x'].dataType.simpleString()}, status string"
-    return kept.groupBy("fn", "subset_no").applyInPandas(run, schema)
+    strip = lambda y: F.floor(y / CONTEXT_ROWS)
+    near = F.explode(F.array_distinct(F.array(*[strip(F.col("y") + d) for d in (-REACHES[1], 0, REACHES[1])]))).alias("strip")
+    kept = px.select("fn", "subset_no", "y", "x", "b3", "b34", "candidate", "cloud_buffered", near)
+    return kept.groupBy("fn", "subset_no", "strip").applyInPandas(run, f"fn {kinds['fn']}, subset_no int, y {kinds['y']}, x {kinds['x']}, status string")
 
 
 def detect(px: DataFrame, conf: dict = SCENE, segments: int = SCENE["segments"], tiles: int = SCENE["tiles"]) -> DataFrame:

@@ -168,6 +168,46 @@ def test_detection_on_a_small_scene(spark):
     assert {r.line_time for r in scenes.extract_fires(found, lines).filter("x = 10 AND y = 10").collect()} == {5.0}
 
 
+def plain_context(b3, b34, candidate, cloud, conf):
+    """The contextual test one candidate, window and pixel at a time."""
+    out = {}
+    for y, x in zip(*np.nonzero(candidate == 1)):
+        out[int(y), int(x)] = "undetermined"
+        for reach in range(2, 8):
+            around = [(i, j) for i in range(max(0, y - reach), min(b3.shape[0], y + reach + 1)) for j in range(max(0, x - reach), min(b3.shape[1], x + reach + 1)) if max(abs(i - y), abs(j - x)) > 1 and b3[i, j] == b3[i, j]]
+            good = [p for p in around if candidate[p] == 0 and cloud[p] == 0]
+            if around and len(good) / len(around) > conf["background"]:
+                passed = True
+                for band in (b34, b3):
+                    v = np.array([band[p] for p in good])
+                    spread = np.abs(v - v.mean()).mean()
+                    passed &= bool(band[y, x] >= v.mean() + (conf["factor"] + spread if spread < 1 else conf["factor"] * spread))
+                out[int(y), int(x)] = "fire" if passed else "not fire"
+                break
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_contextual_test_by_pixels(spark, monkeypatch, seed):
+    rng = np.random.default_rng(seed)
+    shape = int(rng.integers(5, 60)), int(rng.integers(5, 40))
+    b3, b34 = rng.normal(300, 2 if seed % 2 else 0.5, shape), rng.normal(8, 1.5, shape)
+    candidate, cloud = (rng.random(shape) < 0.08).astype(float), (rng.random(shape) < seed / 8).astype(float)
+    hot = (candidate == 1) & (rng.random(shape) < 0.5)
+    b3[hot] += 20
+    b34[hot] += 15
+    b3[rng.random(shape) < 0.1] = np.nan
+    want = plain_context(b3, b34, candidate, cloud, S.SCENE)
+    monkeypatch.setattr(scenes, "CANDIDATES", 5)
+    assert {(y, x): s for y, x, s in scenes.contextual_test(b3, b34, candidate, cloud)} == want
+    monkeypatch.setattr(scenes, "CONTEXT_ROWS", 9)
+    rows = [("f", 0, y, x, None if np.isnan(b3[y, x]) else float(b3[y, x]), float(b34[y, x]), int(candidate[y, x]), int(cloud[y, x])) for y in range(shape[0]) for x in range(shape[1])]
+    px = spark.createDataFrame(rows, "fn string, subset_no int, y int, x int, b3 double, b34 double, candidate int, cloud_buffered int")
+    got = scenes.contextual_fires(px).collect()
+    assert len(got) == len(want) and {(r.y, r.x): r.status for r in got} == want
+    assert seed or {"fire", "not fire"} <= set(want.values())
+
+
 def test_contextual_window_without_background():
     n = 9
     cloud = np.ones((n, n))
