@@ -337,30 +337,55 @@ def levene(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
     return f, f_tail(f, 1, n1 + n2 - 2)
 
 
-def segmented(x: np.ndarray, y: np.ndarray, start: float = 2000.0, steps: int = 60) -> tuple[float, float, float]:
+def _line(n, sx, sy, sxx, sxy, syy):
+    """Slope, intercept, sum of squared residuals, and spread of x, of the lines through points with these sums."""
+    xx, xy, yy = sxx - sx * sx / n, sxy - sx * sy / n, syy - sy * sy / n
+    slope = xy / xx
+    return slope, (sy - slope * sx) / n, np.maximum(yy - slope * xy, 0.0), xx
+
+
+def segmented(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
     """The break of a line with one change of slope and its 95 % limits; NaN where none is found.
 
-    Repeated least squares on the line, the part beyond the break and the jump at the break, whose ratio moves it.
+    Every place of the break is searched. With the first k points on its left, the best break lies where the lines through both sides meet,
+    if that is between points k and k + 1, or else on a point; sums from the left give all these fits at once. The limits follow from
+    the gap between the two lines at the break (delta method). Both sides need two points, and points of one x stay on one side.
     """
     missing = (math.nan,) * 3
-    if len(x) < 6 or not x.min() < start < x.max():
+    order = np.argsort(x, kind="stable")
+    middle = np.median(x) if len(x) else 0.0
+    u, v = x[order] - middle, y[order]
+    v = v - v.mean() if len(v) else v
+    n = len(u)
+    if n < 6:
         return missing
-    psi = start
-    for _ in range(steps):
-        beyond = np.maximum(x - psi, 0.0)
-        jump = -(x > psi).astype(float)
-        design = np.column_stack([np.ones_like(x), x, beyond, jump])
-        coef, _, rank, _ = np.linalg.lstsq(design, y, rcond=None)
-        if rank < 4 or abs(coef[2]) < 1e-12:
-            return missing
-        move = coef[3] / coef[2]
-        psi += move
-        if not x.min() < psi < x.max():
-            return missing
-        if abs(move) < 1e-6:
-            break
-    rest = y - design @ coef
-    df = len(x) - 4
-    cov = np.linalg.inv(design.T @ design) * (rest @ rest) / df
-    half = t_quantile(0.05, df) * math.sqrt(cov[3, 3]) / abs(coef[2])
-    return psi, psi - half, psi + half
+    upto = np.cumsum(np.stack([np.ones(n), u, v, u * u, u * v, v * v]), axis=1)
+    whole = upto[:, -1:]
+    k = np.flatnonzero((u[1:] > u[:-1]) & (u[:-1] > u[0]) & (u[1:] < u[-1]))  # the last point on the left: two xs on each side
+    if not len(k):
+        return missing
+    left, right = upto[:, k], whole - upto[:, k]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        (bl, al, rl, xl), (br, ar, rr, xr) = _line(*left), _line(*right)
+        meet = (al - ar) / (br - bl)
+        apart = np.where((meet >= u[k]) & (meet <= u[k + 1]), rl + rr, np.inf)
+        # a line, and a second slope from point k on
+        m, sx, sy, sxx, sxy, _ = right
+        t = u[k]
+        h, hh, xh, hy = sx - m * t, sxx - 2 * t * sx + m * t * t, sxx - t * sx, sxy - t * sy
+        _, tx, ty, txx, txy, tyy = whole[:, 0]
+        cxx, chh, cxh = txx - tx * tx / n, hh - h * h / n, xh - tx * h / n
+        cxy, chy, cyy = txy - tx * ty / n, hy - h * ty / n, tyy - ty * ty / n
+        on = cyy - (cxy * cxy * chh - 2 * cxy * chy * cxh + chy * chy * cxx) / (cxx * chh - cxh * cxh)
+    tried, places = np.concatenate([apart, on]), np.round(np.concatenate([meet, t]) + middle, 9)
+    tried[np.isnan(tried)] = np.inf
+    # of equal errors the earlier break, then the one with more points on its left
+    equal = np.flatnonzero(tried <= tried.min() + 1e-9 * (1 + cyy))
+    best = int(equal[np.lexsort((-np.tile(left[0], 2)[equal], places[equal]))[0]])
+    at = best % len(k)
+    psi, change = places[best] - middle, br[at] - bl[at]
+    if not np.isfinite(tried[best]) or abs(change) < 1e-12:
+        return missing
+    spread = sum(1 / c + (psi - s / c) ** 2 / xx for c, s, xx in ((left[0, at], left[1, at], xl[at]), (right[0, at], right[1, at], xr[at])))
+    half = t_quantile(0.05, n - 4) * math.sqrt((rl[at] + rr[at]) / (n - 4) * spread) / abs(change)
+    return psi + middle, psi + middle - half, psi + middle + half

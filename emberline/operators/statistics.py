@@ -146,11 +146,11 @@ def split_trend(cells: DataFrame, keys: list[str], change_points: DataFrame) ->
     return grid_trend(parts, [*keys, "segment"], norm=True, thresh=1.01)
 
 
-def change_points(df: DataFrame, keys: list[str], x: str, y: str, start: float = 2000.0) -> DataFrame:
-    """Break year, its 95 % limits and the rounded width of them; null where there is none."""
+def change_points(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """Break year with the least squared error of all, its 95 % limits and the rounded width of them; null where there is none."""
 
     def find(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.array([N.segmented(p[~np.isnan(p)], q[~np.isnan(q)], start) for p, q in zip(a, b)])
+        return np.array([N.segmented(p[~np.isnan(p)], q[~np.isnan(q)]) for p, q in zip(a, b)])
 
     out = by_series(df, keys, [x, y], ["cp", "cp_lower", "cp_upper"], find)
     return out.withColumn("width", F.rint(F.col("cp_upper") - F.col("cp_lower")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from emberline.functions import scalars as X
+from emberline.functions import series_stats as N95
 from emberline.operators import agreement as A
 from emberline.operators import grid as G
 from emberline.operators import statistics as S
@@ -54,18 +55,25 @@ _ORDERS = (
     + " UNION ALL ".join(f"SELECT {n} AS things, * FROM mh{n}" for n in range(1, 34))
     + "))"
 )
-_LIMITS = f"""{_S}, {_pairs("rs", "gfed", "year", "count")}, {_ORDERS},
-md AS (SELECT gfed, quantile_cont(year, 0.5) AS mx, quantile_cont(count, 0.5) AS my, count(*) AS n FROM rs GROUP BY ALL),
-tt AS (SELECT gfed, sum(t * (t - 1) * (2 * t + 5)) AS t5 FROM (SELECT gfed, count(*) AS t FROM rs GROUP BY gfed, count) GROUP BY gfed),
-sp AS (SELECT gfed, sum(sx * sy) AS s, list_sort(list(s) FILTER (WHERE s IS NOT NULL)) AS slopes FROM pq GROUP BY gfed),
+
+
+def _trend(table: str, key: str, x: str, y: str) -> str:
+    """tau, p, slope and what the intercept and the limits need, of each key: the table ``pv``."""
+    return f"""{_pairs(table, key, x, y)}, {_ORDERS},
+md AS (SELECT {key}, quantile_cont({x}, 0.5) AS mx, quantile_cont({y}, 0.5) AS my, count(*) AS n, min({x}) AS first, max({x}) AS last FROM {table} GROUP BY {key}),
+tt AS (SELECT {key}, sum(t * (t - 1) * (2 * t + 5)) AS t5 FROM (SELECT {key}, count(*) AS t FROM {table} GROUP BY {key}, {y}) GROUP BY {key}),
+sp AS (SELECT {key}, sum(sx * sy) AS s, list_sort(list(s) FILTER (WHERE s IS NOT NULL)) AS slopes FROM pq GROUP BY {key}),
 st AS (SELECT *, n * (n - 1) * (2 * n + 5) - t5 AS v18, len(slopes) AS m, sqrt(greatest(0, n * (n - 1) * (2 * n + 5) - t5) / 18.0::DOUBLE) AS sigma, 1.9599639845400538::DOUBLE AS z
-  FROM tk JOIN md USING (gfed) JOIN tt USING (gfed) JOIN sp USING (gfed)),
-pv AS (SELECT st.*, CASE WHEN tau IS NULL THEN NULL WHEN t5 = 0 AND n <= 33 THEN least(1, 2 * upto) ELSE {_erfc("abs(s) / sqrt(v18 / 18.0::DOUBLE) / sqrt(2)")} END AS p
-  FROM st LEFT JOIN mh ON mh.things = st.n AND mh.k = CAST((st.n * (st.n - 1) / 2 - abs(s)) / 2 AS BIGINT))"""
+  FROM md JOIN tt USING ({key}) LEFT JOIN tk USING ({key}) LEFT JOIN sp USING ({key})),
+pv AS (SELECT *, round_even((m - z * sigma) / 2, 0) AS rl, round_even((m + z * sigma) / 2, 0) AS ru FROM (SELECT st.*, CASE WHEN tau IS NULL THEN NULL WHEN t5 = 0 AND n <= 33 THEN least(1, 2 * upto) ELSE {_erfc("abs(s) / sqrt(v18 / 18.0::DOUBLE) / sqrt(2)")} END AS p
+  FROM st LEFT JOIN mh ON mh.things = st.n AND mh.k = CAST((st.n * (st.n - 1) / 2 - abs(s)) / 2 AS BIGINT)))"""
+
 
+_FIGURES = """round(tau, 6) AS tau, round(p, 6) AS p, round(slope, 6) AS slope, round(my - slope * mx, 6) AS intercept,
+round(slopes[1 + greatest(CAST(rl AS BIGINT) - 1, 0)], 6) AS lower, round(slopes[1 + least(CAST(ru AS BIGINT), m - 1)], 6) AS upper"""
 
-@query(f"""WITH {_LIMITS} SELECT gfed, round(tau, 6) AS tau, round(p, 6) AS p, round(slope, 6) AS slope, round(my - slope * mx, 6) AS intercept,
-round(slopes[1 + greatest(CAST(round_even((m - z * sigma) / 2, 0) AS BIGINT) - 1, 0)], 6) AS lower, round(slopes[1 + least(CAST(round_even((m + z * sigma) / 2, 0) AS BIGINT), m - 1)], 6) AS upper FROM pv""")
+
+@query(f"WITH {_S}, {_trend('rs', 'gfed', 'year', 'count')} SELECT gfed, {_FIGURES} FROM pv")
 def h01_kendall_theilsen_limits(spark, d):
     """The same trends with p (exact where nothing is tied) and the limits of the slope."""
     return _R6(S.kendall_theilsen(_series(spark, d), ["gfed"], "year", "count"), "tau", "p", "slope", "intercept", "lower", "upper")
@@ -100,16 +108,6 @@ def h03_grid_corr(spark, d):
     return _R6(out, "stat").select("y", "x", "stat")
 
 
-@query()
-def h04_trend_table(spark, d):
-    """Trends of counts and of relative counts by region, for all years and around the region's change point."""
-    from emberline.operators.shape import normalise_to_mean
-
-    s = normalise_to_mean(_series(spark, d), ["gfed"], "count").withColumn("count", F.col("count").cast("double"))
-    cps = S.change_points(s, ["gfed"], "year", "count").filter("cp IS NOT NULL")
-    return S.trend_table(s, ["gfed"], ["count", "count_norm"], cps)
-
-
 @query(f"WITH {_S} SELECT gfed, round(regr_slope(count, year), 5) AS fit_slope, round(regr_intercept(count, year), 5) AS fit_intercept, round(corr(count, year), 5) AS fit_r FROM rs GROUP BY ALL")
 def h05_pair_stats(spark, d):
     return S.pair_stats(_series(spark, d), ["gfed"], "year", "count").select("gfed", "fit_slope", "fit_intercept", "fit_r")
@@ -145,10 +143,50 @@ def d29_quadrant_counts(spark, d):
     return A.quadrant_counts(A.quadrant(*_trends(spark, d), ["cell"]))
 
 
-@query()
+#: The t that 5 % lie beyond, by degrees of freedom.
+_T95 = ", ".join(f"({n}, {N95.t_quantile(0.05, n)!r}::DOUBLE)" for n in range(2, 30))
+
+
+def _breaks(table: str, key: str, x: str, y: str) -> str:
+    """cp, its limits and width of each key: the best of all lines with one change of slope."""
+    sums = {"n": "1", "sx": "u", "sy": "v", "sxx": "u * u", "sxy": "u * v", "syy": "v * v"}
+    upto = ", ".join(f"sum(({e})::DOUBLE) OVER w AS l{c}, sum(({e})::DOUBLE) OVER (PARTITION BY {key}) AS t{c}" for c, e in sums.items())
+    rest = ", ".join(f"t{c} - l{c} AS r{c}" for c in sums)
+    line = lambda s: f"({s}sxy - {s}sx * {s}sy / {s}n) / ({s}sxx - {s}sx * {s}sx / {s}n) AS {s}b, {s}sxx - {s}sx * {s}sx / {s}n AS {s}x"
+    error = lambda s: f"greatest(0, {s}syy - {s}sy * {s}sy / {s}n - {s}b * ({s}sxy - {s}sx * {s}sy / {s}n))"
+    return f"""b0 AS (SELECT {key}, ({x} - 2000)::DOUBLE AS u, {y}::DOUBLE - avg({y}) OVER (PARTITION BY {key}) AS v FROM {table} WHERE {x} IS NOT NULL AND {y} IS NOT NULL),
+b1 AS (SELECT {key}, u, lead(u) OVER w AS u2, min(u) OVER (PARTITION BY {key}) AS u0, max(u) OVER (PARTITION BY {key}) AS u9, {upto} FROM b0 WINDOW w AS (PARTITION BY {key} ORDER BY u)),
+b2 AS (SELECT *, {rest} FROM b1 WHERE tn >= 6 AND u2 > u AND u > u0 AND u2 < u9),
+b3 AS (SELECT *, {line("l")}, {line("r")} FROM b2),
+b4 AS (SELECT *, (lsy - lb * lsx) / ln AS la, (rsy - rb * rsx) / rn AS ra, {error("l")} AS le, {error("r")} AS re,
+  txx - tsx * tsx / tn AS cxx, rsxx - 2 * u * rsx + rn * u * u - h * h / tn AS chh, rsxx - u * rsx - tsx * h / tn AS cxh, tsxy - tsx * tsy / tn AS cxy, rsxy - u * rsy - h * tsy / tn AS chy, tsyy - tsy * tsy / tn AS cyy
+  FROM (SELECT *, tsxx AS txx, rsx - rn * u AS h FROM b3)),
+b5 AS (SELECT *, cyy - (cxy * cxy * chh - 2 * cxy * chy * cxh + chy * chy * cxx) / nullif(cxx * chh - cxh * cxh, 0) AS one, u AS psi FROM b4 UNION ALL
+  SELECT *, CASE WHEN (la - ra) / nullif(rb - lb, 0) BETWEEN u AND u2 THEN le + re END, (la - ra) / nullif(rb - lb, 0) FROM b4),
+b6 AS (SELECT * FROM (SELECT *, min(one) OVER (PARTITION BY {key}) AS least FROM b5 WHERE one IS NOT NULL) WHERE one <= least + 1e-9 * (1 + cyy)
+  QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY round(psi + 2000, 9), ln DESC) = 1),
+b7 AS (SELECT {key}, round(psi + 2000, 9) AS cp, q * sqrt((le + re) / (tn - 4) * (1 / ln + (psi - lsx / ln) ** 2 / lx + 1 / rn + (psi - rsx / rn) ** 2 / rx)) / abs(rb - lb) AS half
+  FROM b6 JOIN (VALUES {_T95}) t(df, q) ON df = tn - 4 WHERE abs(rb - lb) >= 1e-12),
+bp AS (SELECT k.{key}, cp, cp - half AS cp_lower, cp + half AS cp_upper, round_even(cp + half - (cp - half), 0) AS width FROM (SELECT DISTINCT {key} FROM b0) k LEFT JOIN b7 ON b7.{key} = k.{key})"""
+
+
+@query(f"WITH {_S}, {_breaks('rs', 'gfed', 'year', 'count')} SELECT gfed, round(cp, 4) AS cp, round(cp_lower, 4) AS cp_lower, round(cp_upper, 4) AS cp_upper, width FROM bp")
 def h08_change_points(spark, d):
     """Change point of annual counts by region."""
-    return S.change_points(_series(spark, d), ["gfed"], "year", "count")
+    return S.change_points(_series(spark, d), ["gfed"], "year", "count").withColumns({c: F.round(c, 4) for c in ("cp", "cp_lower", "cp_upper")})
+
+
+@query(f"""WITH {_S}, {_breaks("rs", "gfed", "year", "count")}, lm AS (SELECT gfed, year, 'count' AS metric, count AS v FROM rs UNION ALL SELECT gfed, year, 'count_norm', count / avg(count) OVER (PARTITION BY gfed) FROM rs),
+lg AS (SELECT gfed, metric, 'all' AS segment, year, v FROM lm UNION ALL SELECT gfed, metric, CASE WHEN year <= cp THEN 'before' ELSE 'after' END, year, v FROM lm JOIN bp USING (gfed) WHERE cp IS NOT NULL),
+lk AS (SELECT struct_pack(gfed, metric, segment) AS key, year, v FROM lg), {_trend("lk", "key", "year", "v")}
+SELECT key.gfed AS gfed, key.metric AS metric, key.segment AS segment, {_FIGURES}, first AS year_start, last AS year_end FROM pv""")
+def h04_trend_table(spark, d):
+    """Trends of counts and of relative counts by region, for all years and around the region's change point."""
+    from emberline.operators.shape import normalise_to_mean
+
+    s = normalise_to_mean(_series(spark, d), ["gfed"], "count").withColumn("count", F.col("count").cast("double"))
+    cps = S.change_points(s, ["gfed"], "year", "count").filter("cp IS NOT NULL")
+    return S.trend_table(s, ["gfed"], ["count", "count_norm"], cps)
 
 
 _CP = """cps AS (SELECT o_orderkey AS cell, 1980 + o_orderkey * 7 % 400 / 10.0::DOUBLE AS cp, 1980 + o_orderkey * 7 % 400 / 10.0::DOUBLE - o_custkey % 9 AS cp_lower, 1980 + o_orderkey * 7 % 400 / 10.0::DOUBLE + o_custkey % 7 AS cp_upper FROM orders),
@@ -165,12 +203,14 @@ def h09_valid_change_points(spark, d):
     return S.valid_change_points(_cps(spark, d), 1993, 2009, 10)
 
 
-@query()
+@query(f"""WITH {_G}, {_breaks("c2", "cell", "year", "value")}, sg AS (SELECT struct_pack(cell := c2.cell, segment := CASE WHEN year <= cp THEN 'before' ELSE 'after' END) AS key, year, value FROM c2 JOIN bp ON bp.cell = c2.cell WHERE cp IS NOT NULL),
+sn AS (SELECT key, year, CASE WHEN first = 0 THEN value + 1 ELSE value / first END AS v FROM (SELECT *, first_value(value) OVER (PARTITION BY key ORDER BY year) AS first FROM sg)), {_trend("sn", "key", "year", "v")}
+SELECT key.cell AS cell, key.segment AS segment, round(tau, 6) AS tau, round(p, 6) AS p, round(slope, 6) AS slope FROM pv""")
 def h10_split_trend(spark, d):
     """Trends of 2-degree cells before and after their change point."""
     cells = _cells2(spark, d)
     cps = S.change_points(cells, ["cell"], "year", "value").filter("cp IS NOT NULL")
-    return S.split_trend(cells, ["cell"], cps)
+    return _R6(S.split_trend(cells, ["cell"], cps), "tau", "p", "slope")
 
 
 @query(f"WITH {_CP}, {_T} SELECT count(ok.cell) AS n_cp, count(t.cell) AS n_trend, count(*) FILTER (WHERE ok.cell IS NOT NULL AND t.cell IS NOT NULL) AS n_both, round(count(*) FILTER (WHERE ok.cell IS NOT NULL AND t.cell IS NOT NULL) / nullif(count(ok.cell), 0) * 100, 2) AS percent FROM ok FULL JOIN (SELECT cell FROM ft WHERE p < 0.1) t ON ok.cell = t.cell")

@@ -155,3 +155,35 @@ def test_a_series_of_100_000_points_in_bounded_memory():
     tracemalloc.stop()
     assert most < 100e6 and tau > 0.8 and p < 1e-9
     assert lower < slope < upper and abs(slope - 0.25) < 1e-3 and upper - lower < 1e-3
+
+
+def error_of(psi, x, y):
+    design = np.column_stack([np.ones_like(x), x - 2000, np.maximum(x - psi, 0)])
+    coef = np.linalg.lstsq(design, y, rcond=None)[0]
+    return ((y - design @ coef) ** 2).sum()
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_break_is_the_best_of_a_fine_grid(seed):
+    rng = np.random.default_rng(seed)
+    x = np.sort(rng.choice(np.arange(1986.0, 2017), 12 + seed, replace=False))
+    y = rng.normal(size=len(x)) if seed % 3 == 0 else np.abs(x - rng.uniform(1992, 2010)) * (1 + seed) + rng.normal(size=len(x))
+    cp, lo, hi = N.segmented(x, y)
+    grid = np.arange(x[1], x[-2] + 1e-9, 0.01)
+    errors = np.array([error_of(g, x, y) for g in grid])
+    assert error_of(cp, x, y) <= errors.min() * (1 + 1e-9) + 1e-9
+    if errors.min() < np.sort(errors[np.abs(grid - grid[errors.argmin()]) > 1])[0] * 0.999:
+        assert abs(cp - grid[errors.argmin()]) < 0.02
+    # limits from the least squares fit with a jump at the break
+    design = np.column_stack([np.ones_like(x), x - 2000, np.maximum(x - cp, 0), -(x > cp).astype(float)])
+    if 1 < (x <= cp + 1e-9).sum() < len(x) - 1 and np.abs(x - cp).min() > 1e-6:
+        coef, rest = np.linalg.lstsq(design, y, rcond=None)[:2]
+        cov = np.linalg.inv(design.T @ design) * rest[0] / (len(x) - 4)
+        assert (hi - lo) / 2 == pytest.approx(N.t_quantile(0.05, len(x) - 4) * math.sqrt(cov[3, 3]) / abs(coef[2]), rel=1e-6)
+
+
+def test_no_break_in_lines_and_few_points():
+    x = np.arange(1990.0, 2010)
+    assert all(math.isnan(v) for v in N.segmented(x, np.full(20, 3.0)))
+    assert all(math.isnan(v) for v in N.segmented(np.array([1.0, 1, 1, 2, 2, 3]), np.arange(6.0)))
+    assert N.segmented(x[::-1], np.abs(x - 1999.5)[::-1])[0] == pytest.approx(1999.5)
