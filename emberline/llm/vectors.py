@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows for each task of a table of vectors at least, and tasks for each core at most.
-TASK_ROWS, PER_CORE = 4096, 3
+#: Rows for each task of a table of vectors at least and at most, and tasks for each core while that most is not reached.
+TASK_ROWS, MOST_ROWS, PER_CORE = 4096, 1 << 20, 3
 #: Bytes of 64-bit components that a step of a task, or a block that reaches the driver, holds at most.
 BLOCK_BYTES = 1 << 22
 
@@ -26,9 +26,12 @@ def integers(vector: str, scale: int, limit: int) -> Column:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """``rows`` dealt evenly to a number of tasks that grows with them up to a few for each core, whatever files they came in."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(max(1, min(-(-rows.count() // TASK_ROWS), PER_CORE * cores)))
+    """``rows`` dealt evenly, whatever files they came in: to a few tasks for each core, fewer if they are few, and more if a task had too many.
+
+    What a task sends on does not grow with its rows, so tasks are no more than that.
+    """
+    cores, n = rows.sparkSession.sparkContext.defaultParallelism, rows.count()
+    return rows.repartition(max(1, min(-(-n // TASK_ROWS), PER_CORE * cores), -(-n // MOST_ROWS)))
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:

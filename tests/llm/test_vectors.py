@@ -116,6 +116,16 @@ def test_hard_negatives_equal_all_pairs(spark, monkeypatch):
     assert sorted(tuple(r) for r in H.mine(df).collect()) == want
 
 
+def test_tasks_grow_with_the_rows(spark, monkeypatch):
+    df = spark.range(1000).repartition(7)
+    parts = lambda: vectors.spread(df).rdd.getNumPartitions()
+    assert parts() == 1
+    monkeypatch.setattr(vectors, "TASK_ROWS", 100)
+    assert parts() == min(10, 3 * spark.sparkContext.defaultParallelism)
+    monkeypatch.setattr(vectors, "MOST_ROWS", 20)
+    assert parts() == 50
+
+
 @pytest.mark.parametrize("name", ["op11_centroid_clustering", "op13_hard_negatives"])
 def test_query_equals_its_sql(spark, sf, name):
     path = f"{sf}/embeddings.parquet"
