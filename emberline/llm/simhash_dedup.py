@@ -74,10 +74,16 @@ def _shared(a: str, b: str) -> str:
 
 
 def _pairs(postings: DataFrame, long: int) -> tuple[DataFrame, DataFrame]:
-    """Verified links of the lists of at most ``long`` members; the postings of the longer ones."""
+    """Verified links of the lists of at most ``long`` members; the postings of the longer ones.
+
+    The postings of hot lists, fewer than HOT_SHARE by arithmetic, are told by a broadcast of these lists and stay where they are.
+    """
     sized = postings.groupBy("mask", "part").agg(F.count("*").alias("n")).filter("n > 1")
     sized = scratch.materialize(sized, "lists")
-    short = postings.join(sized.filter(F.col("n") <= long).select("mask", "part"), ["mask", "part"])
+    limit = max(long, postings.count() // skew.HOT_SHARE)
+    hot = F.broadcast(sized.filter(F.col("n") > limit).select("mask", "part"))
+    cold = postings.join(hot, ["mask", "part"], "left_anti")
+    short = cold.join(sized.filter(F.col("n") <= long).select("mask", "part"), ["mask", "part"])
     a, b = short.withColumnRenamed("f", "a"), short.withColumnRenamed("f", "b")
     links = (
         a.join(b, ["mask", "part"])
@@ -86,7 +92,8 @@ def _pairs(postings: DataFrame, long: int) -> tuple[DataFrame, DataFrame]:
         .filter(F.bit_count(F.expr("a ^ b")) <= BITS_APART)
         .select("a", "b")
     )
-    return links, postings.join(sized.filter(F.col("n") > long), ["mask", "part"], "left_semi")
+    others = cold.join(sized.filter((F.col("n") > long) & (F.col("n") <= limit)), ["mask", "part"], "left_semi")
+    return links, postings.join(hot, ["mask", "part"], "left_semi").unionByName(others)
 
 
 def _deal_again(postings: DataFrame) -> DataFrame:
