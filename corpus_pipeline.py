@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on every row that its predecessor kept. The first four return
 the columns of documents; the last one returns the token pieces and their places.
+
+Null texts count as empty: they are not toxic, all empty texts are one group of copies, and what stays of them is one piece, the end token alone. Of
+equal and of near copies the documents stay that the operators name (most code points, then smallest doc_id; smallest doc_id of the near
+ones), and of rows that are identical in all columns one. Null doc_ids are kept and count as smallest. Further columns travel along, whatever their names. Empty tables,
+also of labels or of the benchmark, give what is left by the other stages.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ BATCH = 2 << 20
 
 
 def _bounded(stage: Callable) -> Callable:
-    """``stage`` with batches of at most BATCH bytes. The session keeps that setting, as what a stage returns runs later."""
+    """``stage`` with batches of at most BATCH bytes. What a stage returns runs later, so the setting stays until :func:`run` ends."""
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,8 +77,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage returns is written, and reread by the next."""
+    """All stages over ``documents``; what a stage returns is written, and reread by the next. The session's batch size is as before at the end."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = scratch.materialize(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
-    return STAGES[-1][1](spark, docs, sf_dir)
+    try:
+        for name, stage in STAGES:
+            docs = scratch.materialize(stage(spark, docs, sf_dir), name.replace(" ", "-").lower())
+    finally:
+        spark.conf.set(key, before)
+    return docs
