@@ -230,7 +230,7 @@ def stitch_orbits(scan: DataFrame, tolerance: float = 0.5) -> DataFrame:
     by = Window.partitionBy("platform").orderBy("start", "fn")
     spans = scan.groupBy("platform", "fn").agg(F.min("t").alias("start"), F.max("t").alias("end"))
     spans = spans.withColumns({"next_fn": F.lead("fn").over(by), "next_start": F.lead("start").over(by), "before": F.lag("end").over(by)})
-    lines = scan.join(F.broadcast(spans.select("platform", "fn", "next_fn", "next_start", "before")), ["platform", "fn"])  # one row a file
+    lines = scan.join(spans.select("platform", "fn", "next_fn", "next_start", "before"), ["platform", "fn"])  # one row a file
     lines = lines.filter(F.col("before").isNull() | (F.col("t") > F.col("before")))
     bad = ~F.col("ok") & F.col("next_start").isNotNull() & (F.col("t") >= F.col("next_start"))
     part = lambda t: F.floor(t / STITCH_SECONDS)

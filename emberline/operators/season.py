@@ -75,7 +75,7 @@ def season_length(counts: DataFrame, keys: list[str]) -> DataFrame:
     """Days in periods above the all-year mean of the key, and above its median."""
     by = counts.groupBy(*keys).agg(F.avg("count").alias("__mean"), F.percentile("count", F.lit(0.5)).alias("__median"))
     above = lambda c: (F.count_if(F.col("count") > F.col(c)) * S.PERIOD_DAYS)
-    joined = counts.join(F.broadcast(by), keys)  # one row for each region
+    joined = counts.join(by, keys)  # one row for each region
     return joined.groupBy(*keys, "year").agg(above("__mean").alias("days_mean"), above("__median").alias("days_median"))
 
 

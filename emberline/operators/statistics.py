@@ -127,7 +127,7 @@ def pair_stats(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 
 def segments(df: DataFrame, keys: list[str], change_points: DataFrame, year: str = "year") -> DataFrame:
     """Every row under segment ``all``, and under ``before`` (up to the change point) or ``after`` where its key has one."""
-    both = df.join(F.broadcast(change_points.select(*keys, "cp")), keys, "left")  # one row a series of a summary table
+    both = df.join(change_points.select(*keys, "cp"), keys, "left")
     label = F.when(F.col(year) <= F.col("cp"), "before").when(F.col(year) > F.col("cp"), "after")
     return both.withColumn("segment", F.explode(F.array_compact(F.array(F.lit("all"), label)))).drop("cp")
 
