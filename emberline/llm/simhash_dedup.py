@@ -23,6 +23,7 @@ table gives an empty result; other columns are kept by ``drop_near_duplicates``
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -154,6 +155,10 @@ def drop_near_duplicates(docs: DataFrame, n: int = 3) -> DataFrame:
 
 #: Fingerprints of a document for copies at a similarity, and the longest list that is paired for them.
 SKETCHES, STAR = 6, 16
+#: Four positions whose numbers cancel under XOR. Three positions leave such a four among the other five, so these 14 meet every pair that shares five.
+PLANES = [sum(0xFF << (8 * i) for i in q) for q in combinations(range(8), 4) if q[0] ^ q[1] ^ q[2] ^ q[3] == 0]
+#: Links that a copy of a hub's shingles goes to.
+SPLIT = 1024
 #: Members of a longer list that all others are verified with first, and the members that a block of the rest has on a side.
 HUBS, BLOCK = 4, 128
 
@@ -188,18 +193,17 @@ def shingle_codes(text: str | None, n: int) -> bytes:
 
 
 def _close(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidate links (a, b) of nodes (id, fs) that are near under one of their fingerprints, and what is left of long lists.
+    """Candidate links (a, b) of nodes (id, fs) that share SHARED positional bytes of one of their fingerprints, and what is left of long lists.
 
-    All pairs of lists of at most STAR members that lie within BITS_APART bits are candidates; longer lists are dealt again under
-    more bytes. The members (at, n, id, hubs) of those that are still long under five bytes come second; they have their links to HUBS
-    members among the candidates. Lists of the same members count once.
+    Postings are under the four bytes of each of PLANES. All pairs of lists of at most STAR members that share SHARED bytes are candidates;
+    longer lists are dealt again under one more byte. The members (at, n, id, hubs) of those that are still long come second; they
+    have their links to HUBS members among the candidates. Lists of the same members count once.
     """
-    masks = F.explode(F.array(*[F.lit(_signed(m)) for m in TRIPLES]))
+    masks = F.explode(F.array(*[F.lit(_signed(m)) for m in PLANES]))
     at = F.xxhash64("k", "mask", F.expr("f & mask")).alias("at")
     postings = nodes.select("id", F.posexplode("fs").alias("k", "f")).select("id", "k", "f", masks.alias("mask")).select("id", "k", "f", "mask", at)
-    near = F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= BITS_APART
     found = None
-    for level in range(3):  # under three, four and five bytes
+    for level in range(2):  # under four and five bytes
         if level:
             postings = scratch.materialize(wider.distinct().select("id", "k", "f", "mask", at), "postings")
         lists = scratch.materialize(postings.groupBy("at").agg(F.count("*").alias("n")).filter("n > 1"), "lists")
@@ -208,7 +212,7 @@ def _close(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         listed = scratch.materialize(skew.join_groups(marked, lists, "at", "n", marked.count()), "listed")
         short = listed.filter(F.col("n") <= STAR)
         pairs = short.select("at", F.col("id").alias("a"), "f").join(short.select("at", F.col("id").alias("b"), F.col("f").alias("g")), "at")
-        both = pairs.filter("a > b").filter(near).select("a", "b")
+        both = pairs.filter("a > b").filter(F.expr(_shared("f", "g")) >= SHARED).select("a", "b")
         found = both if found is None else found.unionByName(both)
         rest = listed.filter(F.col("n") > STAR)
         more = F.explode(F.array(*[F.lit(_signed(0xFF << (8 * i))) for i in range(8)]))
@@ -268,15 +272,20 @@ def _held(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     """id and codes of the nodes that are perhaps among ``ids``."""
     ids = scratch.materialize(ids, "ends")
     bits = bloom.bits_for(ids.count())
-    marked = bloom.probe(nodes.select("id", "codes"), bloom.of_keys(ids, F.col("id"), bits), F.col("id"), bits, "linked")
+    marked = bloom.probe(nodes.select("id", "codes"), bloom.of_keys(ids, F.xxhash64("id"), bits), F.xxhash64("id"), bits, "linked")
     return marked.filter("linked").drop("linked")
 
 
 def _similar(links: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """The links whose nodes (id, codes) reach the Jaccard similarity."""
+    """The links whose nodes (id, codes) reach the Jaccard similarity. A hub's shingles are copied once for every SPLIT of its links, never broadcast."""
     held = _held(nodes, links.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    hubs = links.groupBy("b").agg(F.count("*").alias("n")).join(held.select(F.col("id").alias("b"), F.col("codes").alias("y")), "b")
-    both = skew.join_groups(links.join(held.select(F.col("id").alias("a"), F.col("codes").alias("x")), "a"), hubs, "b", "n", links.count())
+    hubs = links.groupBy("b").agg(F.count("*").alias("n")).withColumn("parts", F.expr(f"(n - 1) div {SPLIT} + 1"))
+    hubs = scratch.materialize(hubs, "hubs")
+    dealt = skew.join_groups(links, hubs, "b", "n", links.count()).select("a", "b", F.expr("pmod(xxhash64(a), parts)").alias("part"))
+    x = held.select(F.col("id").alias("a"), F.col("codes").alias("x"))
+    y = hubs.join(held.select(F.col("id").alias("b"), F.col("codes").alias("y")), "b")
+    y = y.select("b", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), "y")
+    both = dealt.join(x, "a").join(y, ["b", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,32 +305,36 @@ def group_similar(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFr
     """doc_id, row_hash, uid, component_id and best, for copies at ``threshold`` Jaccard similarity of their ``n``-word shingles.
 
     Such copies differ in more than three bits of one fingerprint, so each document has SKETCHES of them, and every document is
-    compared under all: candidates within three bits are verified on their shingles, and lists that stay long are linked through
-    HUBS members and then compared across the components that these leave. Every link is verified, and a pair within three bits
-    under any fingerprint whose shingles reach the threshold is always in one component; pairs that are close under none are missed.
+    compared under all: pairs that share SHARED positional bytes of one are verified on their shingles, and lists that stay long are linked
+    through HUBS members and then compared across the components that these leave. Every link is verified, and a pair that shares SHARED
+    bytes under any fingerprint (so each pair within BITS_APART bits) and whose shingles reach the threshold is always in one
+    component; pairs that share them under none are missed. Equal texts, told by SHA-256, are one node, numbered by one of its rows.
     """
     kinds = [T.StructField("fs", T.ArrayType(T.LongType())), T.StructField("codes", T.BinaryType())]
-    rows = docs.select("doc_id", "text", skew.row_hash(docs).alias("row_hash"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("id"))
+    key = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)).alias("key")
+    rows = docs.select("doc_id", "text", skew.row_hash(docs).alias("row_hash"), key)
     made = lambda batch: [[sketches(t) for t in batch], [shingle_codes(t, n) for t in batch]]
     rows = texts.add_columns(rows, kinds, made).drop("text").withColumn("uid", F.monotonically_increasing_id())
-    with texts.small_batches(docs.sparkSession):
+    with texts.small_batches(docs.sparkSession), scratch.Scope(docs.sparkSession) as scope:
         rows = scratch.materialize(rows, "similar")
         first = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
-        nodes = scratch.materialize(rows.groupBy("id").agg(F.count("*").alias("copies"), F.min(first).alias("first"), F.first("fs").alias("fs"), F.first("codes").alias("codes")), "nodes")
+        nodes = rows.groupBy("key").agg(F.count("*").alias("copies"), F.min(first).alias("first"), F.first("fs").alias("fs"))
+        nodes = scratch.materialize(nodes.withColumn("id", F.col("first.uid")), "nodes")
+        held = rows.select(F.col("uid").alias("id"), "codes")
         close, members = _close(nodes.select("id", "fs"))
-        merged = scratch.materialize(_similar(scratch.materialize(close, "close"), nodes, threshold), "verified")
+        merged = scratch.materialize(_similar(scratch.materialize(close, "close"), held, threshold), "verified")
         final = components.components(merged, "a", "b")
         if not members.isEmpty():
             stars = final.select(F.col("node").alias("a"), F.col("root").alias("b"))  # as connected as the links, and nearly done
-            final = components.components(stars.unionByName(_across(members, final, nodes, threshold)), "a", "b")
-    slim = nodes.select("id", "copies", "first")
-    rooted = slim.join(final.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    rooted = scratch.materialize(rooted, "rooted")
-    best = rooted.groupBy("root").agg(F.min("first").alias("best"))
-    classes = rooted.select("id", "copies", "root").join(best, "root").select("id", "copies", "best")
-    return skew.join_groups(rows.drop("fs", "codes"), classes, "id", "copies", rows.count()).select(
-        "doc_id", "row_hash", "uid", F.col("best.doc_id").alias("component_id"), (F.col("uid") == F.col("best.uid")).alias("best")
-    )
+            final = components.components(stars.unionByName(_across(members, final, held, threshold)), "a", "b")
+        rooted = nodes.drop("fs").join(final.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        rooted = scratch.materialize(rooted, "rooted")
+        best = rooted.groupBy("root").agg(F.min("first").alias("best"))
+        classes = rooted.select("key", "copies", "root").join(best, "root").select("key", "copies", "best")
+        grouped = skew.join_groups(rows.drop("fs", "codes"), classes, "key", "copies", rows.count()).select(
+            "doc_id", "row_hash", "uid", F.col("best.doc_id").alias("component_id"), (F.col("uid") == F.col("best.uid")).alias("best")
+        )
+        return scope.keep(scratch.materialize(grouped, "grouped"))
 
 
 def drop_similar(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
