@@ -22,7 +22,7 @@ table gives an empty result; other columns are kept by ``drop_near_duplicates``
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -155,6 +155,10 @@ def drop_near_duplicates(docs: DataFrame, n: int = 3) -> DataFrame:
 
 #: Fingerprints of a document for copies at a similarity, and the longest list that is paired for them.
 SKETCHES, STAR = 6, 16
+#: Bits that two of these fingerprints may differ in, if they share SHARED bytes: one more than the minimum of matches is guaranteed for.
+NEAR_BITS = BITS_APART + 1
+#: Parts that a text's shingles are counted in by their codes, for a bound of what two texts share.
+COUNTS = 128
 #: Four positions whose numbers cancel under XOR. Three positions leave such a four among the other five, so these 14 meet every pair that shares five.
 PLANES = [sum(0xFF << (8 * i) for i in q) for q in combinations(range(8), 4) if q[0] ^ q[1] ^ q[2] ^ q[3] == 0]
 #: Links that a copy of a hub's shingles goes to.
@@ -192,11 +196,29 @@ def shingle_codes(text: str | None, n: int) -> bytes:
     return np.unique(np.array(h, "<u4")).tobytes()
 
 
+def shingle_counts(codes: bytes) -> bytes:
+    """How many of the codes fall into each of COUNTS parts, in numbers of one, two or four bytes, whichever hold the largest."""
+    c = np.bincount(np.frombuffer(codes, "<u4") % COUNTS, minlength=COUNTS)
+    return c.astype("u1" if c.max() < 1 << 8 else "<u2" if c.max() < 1 << 16 else "<u4").tobytes()
+
+
+def shared_at_most(x: bytes, y: bytes) -> tuple[int, int]:
+    """From two texts' counts: as many shingles as they can share at most, and how many both have together."""
+    p, q = (np.frombuffer(c, f"<u{len(c) // COUNTS}").astype(np.int64) for c in (x, y))
+    return int(np.minimum(p, q).sum()), int(p.sum() + q.sum())
+
+
+def shared_codes(x: bytes, y: bytes) -> tuple[int, int]:
+    """From two texts' codes: how many they share, and how many both have together."""
+    p, q = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
+    return len(np.intersect1d(p, q, assume_unique=True)), len(p) + len(q)
+
+
 def _close(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Candidate links (a, b) of nodes (id, fs) that share SHARED positional bytes of one of their fingerprints, and what is left of long lists.
+    """Candidate links (a, b) of nodes (id, fs) that are near under one of their fingerprints, and what is left of long lists.
 
-    Postings are under the four bytes of each of PLANES. All pairs of lists of at most STAR members that share SHARED bytes are candidates;
-    longer lists are dealt again under one more byte. The members (at, n, id, hubs) of those that are still long come second; they
+    Near are those that share SHARED positional bytes and differ in NEAR_BITS bits at most. Postings are under the four bytes of each
+    of PLANES. All near pairs of lists of at most STAR members are candidates; longer lists are dealt again under one more byte. The members (at, n, id, hubs) of those that are still long come second; they
     have their links to HUBS members among the candidates. Lists of the same members count once.
     """
     masks = F.explode(F.array(*[F.lit(_signed(m)) for m in PLANES]))
@@ -212,7 +234,8 @@ def _close(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
         listed = scratch.materialize(skew.join_groups(marked, lists, "at", "n", marked.count()), "listed")
         short = listed.filter(F.col("n") <= STAR)
         pairs = short.select("at", F.col("id").alias("a"), "f").join(short.select("at", F.col("id").alias("b"), F.col("f").alias("g")), "at")
-        both = pairs.filter("a > b").filter(F.expr(_shared("f", "g")) >= SHARED).select("a", "b")
+        both = pairs.filter("a > b").filter(F.expr(_shared("f", "g")) >= SHARED)
+        both = both.filter(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= NEAR_BITS).select("a", "b")
         found = both if found is None else found.unionByName(both)
         rest = listed.filter(F.col("n") > STAR)
         more = F.explode(F.array(*[F.lit(_signed(0xFF << (8 * i))) for i in range(8)]))
@@ -242,7 +265,7 @@ def _across(members: DataFrame, roots: DataFrame, nodes: DataFrame, threshold: f
     row, column = F.expr("pmod(xxhash64(id), rows)"), F.expr("pmod(xxhash64(id), columns)")
     few = m.filter("root <> main").select("at", "id", "root", row.alias("p"), F.explode(F.expr("sequence(0L, columns - 1)")).alias("q"), F.lit(True).alias("few"))
     all_ = m.select("at", "id", "root", F.explode(F.expr("sequence(0L, rows - 1)")).alias("p"), column.alias("q"), F.lit(False).alias("few"))
-    held = _held(nodes, m.select("id").distinct())
+    held = _held(nodes.select("id", "codes"), m.select("id").distinct())
     dealt = few.unionByName(all_).select("id", "root", "few", F.xxhash64("at", "p", "q").alias("block")).join(held, "id")
 
     def run(block: pa.Table) -> pa.Table:
@@ -269,33 +292,31 @@ def _across(members: DataFrame, roots: DataFrame, nodes: DataFrame, threshold: f
 
 
 def _held(nodes: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and codes of the nodes that are perhaps among ``ids``."""
+    """The nodes (id and another column) that are perhaps among ``ids``."""
     ids = scratch.materialize(ids, "ends")
     bits = bloom.bits_for(ids.count())
-    marked = bloom.probe(nodes.select("id", "codes"), bloom.of_keys(ids, F.xxhash64("id"), bits), F.xxhash64("id"), bits, "linked")
+    marked = bloom.probe(nodes, bloom.of_keys(ids, F.xxhash64("id"), bits), F.xxhash64("id"), bits, "linked")
     return marked.filter("linked").drop("linked")
 
 
-def _similar(links: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """The links whose nodes (id, codes) reach the Jaccard similarity. A hub's shingles are copied once for every SPLIT of its links, never broadcast."""
-    held = _held(nodes, links.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+def _tested(links: DataFrame, nodes: DataFrame, column: str, shared: Callable[[bytes, bytes], tuple[int, int]], threshold: float) -> DataFrame:
+    """The links whose nodes (id, ``column``) reach the Jaccard similarity by what ``shared`` tells of them.
+
+    A hub's column is copied once for every SPLIT of its links and never broadcast.
+    """
+    held = _held(nodes.select("id", column), links.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     hubs = links.groupBy("b").agg(F.count("*").alias("n")).withColumn("parts", F.expr(f"(n - 1) div {SPLIT} + 1"))
     hubs = scratch.materialize(hubs, "hubs")
     dealt = skew.join_groups(links, hubs, "b", "n", links.count()).select("a", "b", F.expr("pmod(xxhash64(a), parts)").alias("part"))
-    x = held.select(F.col("id").alias("a"), F.col("codes").alias("x"))
-    y = hubs.join(held.select(F.col("id").alias("b"), F.col("codes").alias("y")), "b")
+    x = held.select(F.col("id").alias("a"), F.col(column).alias("x"))
+    y = hubs.join(held.select(F.col("id").alias("b"), F.col(column).alias("y")), "b")
     y = y.select("b", F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"), "y")
     both = dealt.join(x, "a").join(y, ["b", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                p, q = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-                shared = len(np.intersect1d(p, q, assume_unique=True))
-                if shared >= threshold * (len(p) + len(q) - shared):
-                    keep.append(i)
-            at = pa.array(keep, pa.int64())
+            told = [shared(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            at = pa.array([i for i, (n, total) in enumerate(told) if n >= threshold * (total - n)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], names=["a", "b"])
 
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
@@ -305,24 +326,31 @@ def group_similar(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFr
     """doc_id, row_hash, uid, component_id and best, for copies at ``threshold`` Jaccard similarity of their ``n``-word shingles.
 
     Such copies differ in more than three bits of one fingerprint, so each document has SKETCHES of them, and every document is
-    compared under all: pairs that share SHARED positional bytes of one are verified on their shingles, and lists that stay long are linked
-    through HUBS members and then compared across the components that these leave. Every link is verified, and a pair that shares SHARED
-    bytes under any fingerprint (so each pair within BITS_APART bits) and whose shingles reach the threshold is always in one
-    component; pairs that share them under none are missed. Equal texts, told by SHA-256, are one node, numbered by one of its rows.
+    compared under all: pairs that share SHARED positional bytes of one within NEAR_BITS bits go if the counts of their shingles show that
+    they share too few, what is left is verified on the shingles, and lists that stay long are linked through HUBS members and then compared across
+    the components that these leave. Every link is verified, and a pair that is near under any fingerprint (so each pair within
+    BITS_APART bits) and whose shingles reach the threshold is always in one component; pairs that are near under none are missed.
+    Equal texts, told by SHA-256, are one node, numbered by one of its rows.
     """
-    kinds = [T.StructField("fs", T.ArrayType(T.LongType())), T.StructField("codes", T.BinaryType())]
+    kinds = [T.StructField("fs", T.ArrayType(T.LongType())), *(T.StructField(c, T.BinaryType()) for c in ("codes", "counts"))]
     key = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)).alias("key")
     rows = docs.select("doc_id", "text", skew.row_hash(docs).alias("row_hash"), key)
-    made = lambda batch: [[sketches(t) for t in batch], [shingle_codes(t, n) for t in batch]]
+
+    def made(batch: list[str | None]) -> list:
+        codes = [shingle_codes(t, n) for t in batch]
+        return [[sketches(t) for t in batch], codes, [shingle_counts(c) for c in codes]]
+
     rows = texts.add_columns(rows, kinds, made).drop("text").withColumn("uid", F.monotonically_increasing_id())
     with texts.small_batches(docs.sparkSession), scratch.Scope(docs.sparkSession) as scope:
         rows = scratch.materialize(rows, "similar")
         first = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
         nodes = rows.groupBy("key").agg(F.count("*").alias("copies"), F.min(first).alias("first"), F.first("fs").alias("fs"))
         nodes = scratch.materialize(nodes.withColumn("id", F.col("first.uid")), "nodes")
-        held = rows.select(F.col("uid").alias("id"), "codes")
+        held = rows.select(F.col("uid").alias("id"), "codes", "counts")
         close, members = _close(nodes.select("id", "fs"))
-        merged = scratch.materialize(_similar(scratch.materialize(close, "close"), held, threshold), "verified")
+        perhaps = _tested(scratch.materialize(close, "close"), held, "counts", shared_at_most, threshold)
+        merged = _tested(scratch.materialize(perhaps, "perhaps"), held, "codes", shared_codes, threshold)
+        merged = scratch.materialize(merged, "verified")
         final = components.components(merged, "a", "b")
         if not members.isEmpty():
             stars = final.select(F.col("node").alias("a"), F.col("root").alias("b"))  # as connected as the links, and nearly done
@@ -331,7 +359,7 @@ def group_similar(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFr
         rooted = scratch.materialize(rooted, "rooted")
         best = rooted.groupBy("root").agg(F.min("first").alias("best"))
         classes = rooted.select("key", "copies", "root").join(best, "root").select("key", "copies", "best")
-        grouped = skew.join_groups(rows.drop("fs", "codes"), classes, "key", "copies", rows.count()).select(
+        grouped = skew.join_groups(rows.drop("fs", "codes", "counts"), classes, "key", "copies", rows.count()).select(
             "doc_id", "row_hash", "uid", F.col("best.doc_id").alias("component_id"), (F.col("uid") == F.col("best.uid")).alias("best")
         )
         return scope.keep(scratch.materialize(grouped, "grouped"))

@@ -80,3 +80,35 @@ def test_a_chain_needs_all_fingerprints(spark):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in simhash_dedup.group_similar(df).collect()}
     assert len(whole) > 5 and all(got[3 * g + 2] == 3 * g for g in whole)
+
+
+def test_counts_never_hide_a_link():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 40, 3000, 200_000):
+        x = np.unique(rng.integers(0, 1 << 32, n, dtype=np.uint64).astype("<u4"))
+        y = np.unique(np.concatenate([x[: n * 9 // 10], rng.integers(0, 1 << 32, n // 10, dtype=np.uint64).astype("<u4")]))
+        exact, total = simhash_dedup.shared_codes(x.tobytes(), y.tobytes())
+        most, same = simhash_dedup.shared_at_most(simhash_dedup.shingle_counts(x.tobytes()), simhash_dedup.shingle_counts(y.tobytes()))
+        assert same == total and exact <= most <= min(len(x), len(y))
+
+
+def test_every_five_bytes_hold_a_plane():
+    masks = {sum(0xFF << (8 * i) for i in five) for five in simhash_dedup.combinations(range(8), 5)}
+    assert len(simhash_dedup.PLANES) == 14 and all(any(m & p == p for p in simhash_dedup.PLANES) for m in masks)
+
+
+def test_near_pairs_are_all_linked(spark):
+    """Texts that are near under a fingerprint and reach the similarity are linked; what is linked reaches it."""
+    texts = {}
+    for g in range(150):
+        base = words(8000 + g, 120)
+        texts |= {2 * g: " ".join(base), 2 * g + 1: edited(base, g, 1 + g % 3)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash_dedup.group_similar(df).collect()}
+    prints = {i: simhash_dedup.sketches(t) for i, t in texts.items()}
+    apart = lambda a, b: ((a ^ b) & (1 << 64) - 1)
+    near = lambda a, b: apart(a, b).bit_count() <= 4 and apart(a, b).to_bytes(8, "big").count(0) >= 5
+    want = brute_similar(texts)
+    for i in range(0, 300, 2):
+        linked = want[i + 1] == i and any(near(a, b) for a, b in zip(prints[i], prints[i + 1]))
+        assert (got[i + 1] == i) == linked
