@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -163,7 +163,9 @@ COUNTS = 128
 PLANES = [sum(0xFF << (8 * i) for i in q) for q in combinations(range(8), 4) if q[0] ^ q[1] ^ q[2] ^ q[3] == 0]
 #: Links that a copy of a hub's shingles goes to.
 SPLIT = 1024
-#: Members of a longer list that all others are verified with first, and the members that a block of the rest has on a side.
+#: The longest list under four bytes whose members are compared in blocks.
+WIDE = 1024
+#: Members of a list still long under five bytes that all others are verified with first, and the members that a block of a list has on a side.
 HUBS, BLOCK = 4, 128
 
 
@@ -218,50 +220,87 @@ def _close(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Candidate links (a, b) of nodes (id, fs) that are near under one of their fingerprints, and what is left of long lists.
 
     Near are those that share SHARED positional bytes and differ in NEAR_BITS bits at most. Postings are under the four bytes of each
-    of PLANES. All near pairs of lists of at most STAR members are candidates; longer lists are dealt again under one more byte. The members (at, n, id, hubs) of those that are still long come second; they
-    have their links to HUBS members among the candidates. Lists of the same members count once.
+    of PLANES. All near pairs of lists of at most STAR members are candidates. The members (at, id, large) of lists of at most WIDE come second; the head of a
+    list is the member of most long lists, and a member's link to the head of most of its lists is a candidate, one for each member however many lists it is in. Lists
+    that are longer are dealt again under one more byte, as comparing all of them grows with the square. The members of those that are still over STAR come second
+    too, as large; they have their links to HUBS members among the candidates. Of these, lists of the same members count once.
     """
     masks = F.explode(F.array(*[F.lit(_signed(m)) for m in PLANES]))
     at = F.xxhash64("k", "mask", F.expr("f & mask")).alias("at")
     postings = nodes.select("id", F.posexplode("fs").alias("k", "f")).select("id", "k", "f", masks.alias("mask")).select("id", "k", "f", "mask", at)
-    found = None
-    for level in range(2):  # under four and five bytes
-        if level:
-            postings = scratch.materialize(wider.distinct().select("id", "k", "f", "mask", at), "postings")
-        lists = scratch.materialize(postings.groupBy("at").agg(F.count("*").alias("n")).filter("n > 1"), "lists")
-        bits = bloom.bits_for(lists.count())
-        marked = bloom.probe(postings, bloom.of_keys(lists, F.col("at"), bits), F.col("at"), bits, "listed").filter("listed").drop("listed")
-        listed = scratch.materialize(skew.join_groups(marked, lists, "at", "n", marked.count()), "listed")
-        short = listed.filter(F.col("n") <= STAR)
-        pairs = short.select("at", F.col("id").alias("a"), "f").join(short.select("at", F.col("id").alias("b"), F.col("f").alias("g")), "at")
-        both = pairs.filter("a > b").filter(F.expr(_shared("f", "g")) >= SHARED)
-        both = both.filter(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= NEAR_BITS).select("a", "b")
-        found = both if found is None else found.unionByName(both)
-        rest = listed.filter(F.col("n") > STAR)
-        more = F.explode(F.array(*[F.lit(_signed(0xFF << (8 * i))) for i in range(8)]))
-        wider = rest.select("id", "k", "f", "mask", more.alias("byte")).filter("(mask & byte) = 0").select("id", "k", "f", F.expr("mask | byte").alias("mask"))
-        if rest.isEmpty():
-            break
+    near, rest = _near_pairs(postings)
+    some = rest.filter(F.col("n") <= WIDE).select("at", "id")
+    lists = some.withColumn("lists", F.count("*").over(Window.partitionBy("id"))).groupBy("at")
+    lists = lists.agg(F.max_by("id", F.struct("lists", "id")).alias("b"), F.collect_list("id").alias("ids"))
+    heads = lists.select(F.explode("ids").alias("a"), "b").filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("lists"))
+    stars = heads.groupBy("a").agg(F.max_by("b", F.struct("lists", "b")).alias("b"))
+    found, members = near.unionByName(stars), some.withColumn("large", F.lit(False))
+    wide = rest.filter(F.col("n") > WIDE)
+    if wide.isEmpty():
+        return found.distinct(), members
+    more = F.explode(F.filter(F.array(*[F.lit(_signed(0xFF << (8 * i))) for i in range(8)]), lambda byte: F.col("mask").bitwiseAND(byte) == 0))
+    wider = wide.select("id", "k", "f", "mask", more.alias("byte")).select("id", "k", "f", F.expr("mask | byte").alias("mask"))
+    near, rest = _near_pairs(scratch.materialize(wider.distinct().select("id", "k", "f", "mask", at), "postings"))
     hubs = F.array_distinct(F.array(*[F.min_by("id", F.xxhash64("id", F.lit(i))) for i in range(HUBS)]))
     same = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(HUBS))).alias("y")]
     lists = rest.groupBy("at").agg(*same, hubs.alias("hubs")).groupBy("n", "x", "y").agg(F.min(F.struct("at", "hubs")).alias("one"))
     lists = lists.select("one.at", "n", "one.hubs")
-    members = scratch.materialize(skew.join_groups(rest.select("at", "id"), lists, "at", "n", rest.count()), "members")
-    stars = members.select(F.col("id").alias("a"), F.explode("hubs").alias("b")).filter("a <> b")
-    return found.unionByName(stars).distinct(), members
+    longest = scratch.materialize(skew.join_groups(rest.select("at", "id"), lists, "at", "n", rest.count()), "members")
+    own = longest.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("hubs"))).alias("hubs"))  # a hub of many lists goes to a member once
+    stars = own.select(F.col("id").alias("a"), F.explode("hubs").alias("b")).filter("a <> b")
+    return found.unionByName(near).unionByName(stars).distinct(), members.unionByName(longest.select("at", "id", F.lit(True).alias("large")))
+
+
+def _near_pairs(postings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The near pairs (a, b) of lists of at most STAR members, and the postings of longer ones with their length n."""
+    lists = scratch.materialize(postings.groupBy("at").agg(F.count("*").alias("n")).filter("n > 1"), "lists")
+    bits = bloom.bits_for(lists.count())
+    marked = bloom.probe(postings, bloom.of_keys(lists, F.col("at"), bits), F.col("at"), bits, "listed").filter("listed").drop("listed")
+    marked = scratch.materialize(marked, "marked")
+    long = lists.filter(F.col("n") > STAR)
+    bits = bloom.bits_for(long.count())
+    marked = bloom.probe(marked, bloom.of_keys(long, F.col("at"), bits), F.col("at"), bits, "long")
+    perhaps = scratch.materialize(marked.filter("long").drop("long"), "perhaps")
+    few = marked.filter("NOT long").drop("long").join(lists.filter(F.col("n") <= STAR), "at")  # no list of these is large
+    listed = scratch.materialize(skew.join_groups(perhaps, lists, "at", "n", perhaps.count()), "listed")
+    short = scratch.materialize(few.select(*listed.columns).unionByName(listed.filter(F.col("n") <= STAR)), "short")
+    pairs = short.select("at", F.col("id").alias("a"), "f").join(short.select("at", F.col("id").alias("b"), F.col("f").alias("g")), "at")
+    both = pairs.filter("a > b").filter(F.expr(_shared("f", "g")) >= SHARED)
+    both = both.filter(F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= NEAR_BITS).select("a", "b")
+    return both, listed.filter(F.col("n") > STAR)
+
+
+def _forest(pairs: Iterator[tuple[int, int]]) -> list[int]:
+    """Which of the links connect all that any of them connects."""
+    up: dict[int, int] = {}
+    kept = []
+    for at, ends in enumerate(pairs):
+        a, b = ends
+        while a in up:
+            a = up[a]
+        while b in up:
+            b = up[b]
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            kept.append(at)
+    return kept
 
 
 def _across(members: DataFrame, roots: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """The links that reach the similarity between members of a long list in different components (roots: node, root).
 
-    Members outside a list's largest component meet all members, in blocks of about BLOCK by BLOCK: the shingles shuffle once a block.
+    Members outside a list's largest component meet all members, in blocks of about BLOCK by BLOCK: the shingles shuffle once a block. Of
+    the links of a block those are returned that connect its components, fewer than its members.
     """
-    rooted = members.select("at", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    rooted = members.select("at", "id", "large").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     rooted = scratch.materialize(rooted, "rooted")
-    parts = rooted.groupBy("at", "root").agg(F.count("*").alias("c"))
-    mixed = parts.groupBy("at").agg(F.count("*").alias("parts"), F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("main")).filter("parts > 1")
-    mixed = mixed.select("at", "n", F.col("main.root").alias("main"), F.expr(f"ceil((n - main.c) / {BLOCK})").alias("rows"), F.expr(f"ceil(n / {BLOCK})").alias("columns"))
-    m = scratch.materialize(skew.join_groups(rooted, mixed, "at", "n", rooted.count()), "mixed")
+    parts = rooted.groupBy("at", "large", "root").agg(F.count("*").alias("c"))
+    mixed = parts.groupBy("at", "large").agg(F.count("*").alias("parts"), F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("main")).filter("parts > 1")
+    mixed = mixed.select("at", "large", "n", F.col("main.root").alias("main"), F.expr(f"ceil((n - main.c) / {BLOCK})").alias("rows"), F.expr(f"ceil(n / {BLOCK})").alias("columns"))
+    large, whole = rooted.filter("large").drop("large"), mixed.filter("large").drop("large")
+    large = skew.join_groups(large, whole, "at", "n", large.count())
+    small = rooted.filter("NOT large").join(mixed.filter("NOT large").drop("large"), "at")  # WIDE rows of a list at most
+    m = scratch.materialize(large.unionByName(small.select(*large.columns)), "mixed")
     row, column = F.expr("pmod(xxhash64(id), rows)"), F.expr("pmod(xxhash64(id), columns)")
     few = m.filter("root <> main").select("at", "id", "root", row.alias("p"), F.explode(F.expr("sequence(0L, columns - 1)")).alias("q"), F.lit(True).alias("few"))
     all_ = m.select("at", "id", "root", F.explode(F.expr("sequence(0L, rows - 1)")).alias("p"), column.alias("q"), F.lit(False).alias("few"))
@@ -284,8 +323,10 @@ def _across(members: DataFrame, roots: DataFrame, nodes: DataFrame, threshold: f
                 on.append(held)
             shared += on[0] @ on[1].T
         sizes = np.add.outer(np.array([len(c) for c in x], float), np.array([len(c) for c in y], float))
-        good = (shared >= threshold * (sizes - shared)) & (few.column("root").to_numpy()[:, None] != every.column("root").to_numpy()[None, :])
-        i, j = np.nonzero(good)
+        p, q = few.column("root").to_numpy(), every.column("root").to_numpy()
+        i, j = np.nonzero((shared >= threshold * (sizes - shared)) & (p[:, None] != q[None, :]))
+        kept = _forest(zip(p[i].tolist(), q[j].tolist()))
+        i, j = i[kept], j[kept]
         return pa.table({"a": few.column("id").to_numpy()[i], "b": every.column("id").to_numpy()[j]})
 
     return dealt.groupBy("block").applyInArrow(run, "a long, b long")
@@ -327,7 +368,7 @@ def group_similar(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFr
 
     Such copies differ in more than three bits of one fingerprint, so each document has SKETCHES of them, and every document is
     compared under all: pairs that share SHARED positional bytes of one within NEAR_BITS bits go if the counts of their shingles show that
-    they share too few, what is left is verified on the shingles, and lists that stay long are linked through HUBS members and then compared across
+    they share too few, what is left is verified on the shingles, and long lists are linked through a few of their members and then compared across
     the components that these leave. Every link is verified, and a pair that is near under any fingerprint (so each pair within
     BITS_APART bits) and whose shingles reach the threshold is always in one component; pairs that are near under none are missed.
     Equal texts, told by SHA-256, are one node, numbered by one of its rows.

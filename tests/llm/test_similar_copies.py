@@ -112,3 +112,30 @@ def test_near_pairs_are_all_linked(spark):
     for i in range(0, 300, 2):
         linked = want[i + 1] == i and any(near(a, b) for a, b in zip(prints[i], prints[i + 1]))
         assert (got[i + 1] == i) == linked
+
+
+def test_members_of_long_lists_have_few_candidates(spark):
+    """A copy is in hundreds of long lists with the other copies; besides those that it is near it has one candidate for them all."""
+    base = words(77, 150)
+    prints = {i: simhash_dedup.sketches(edited(base, i, 1 + i % 4)) for i in range(300)}
+    links, members = simhash_dedup._close(spark.createDataFrame(list(prints.items()), "id long, fs array<long>"))
+    in_long = {r.id for r in members.select("id").distinct().collect()}
+    apart = lambda a, b: ((a ^ b) & (1 << 64) - 1)
+    near = lambda a, b: apart(a, b).bit_count() <= 4 and apart(a, b).to_bytes(8, "big").count(0) >= 5
+    far = [r for r in links.collect() if not any(near(x, y) for x, y in zip(prints[r.a], prints[r.b]))]
+    assert len(in_long) > 200 and len(far) <= len(in_long)
+
+
+def test_links_of_a_block_are_thinned_to_a_forest():
+    rng = np.random.default_rng(3)
+    pairs = [tuple(map(int, rng.integers(0, 60, 2))) for _ in range(500)]
+    kept = simhash_dedup._forest(iter(pairs))
+
+    def parts(links):
+        root = {i: i for i in range(60)}
+        for _ in range(60):
+            for a, b in links:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    assert len(kept) < 60 and parts([pairs[k] for k in kept]) == parts(pairs)
