@@ -47,7 +47,7 @@ class Chunks:
     tokenizer's model; any other chunk goes through the whole tokenizer.
     """
 
-    MOST = 1 << 17
+    MOST = 1 << 18
     PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
     WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
@@ -78,7 +78,7 @@ class Chunks:
         split = [(t or "").replace("\n", " ").split(" ") for t in batch]
         if len(self.chunks) > self.MOST:
             self.chunks = {"": b""}
-        if len(self.words) > self.MOST // 2:
+        if len(self.words) > self.MOST:
             self.words = {}
         new = set().union(*split).difference(self.chunks)
         for c in new:

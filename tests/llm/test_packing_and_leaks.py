@@ -140,3 +140,11 @@ def test_leaks_in_blocks_and_odd_rows(spark, odd, empty, monkeypatch):
         assert kept.columns == odd.columns and kept.count() == sum(i not in {w[0] for w in want} for i, *_ in ROWS)
     assert decontaminate.search(empty, items).count() == 0 and decontaminate.search(odd, items.limit(0)).count() == 0
     assert decontaminate.drop_contaminated(odd, items.limit(0)).count() == odd.count()
+
+
+def test_words_of_many_texts_are_remembered():
+    chunks = packing.Chunks(PATH)
+    first = chunks.of([" ".join(f"w{i}" for i in range(150_000))])
+    chunks.of(["other words"])
+    assert "w0" in chunks.chunks and "w" in chunks.words
+    assert chunks.of([" ".join(f"w{i}" for i in range(150_000))]) == first
