@@ -22,34 +22,42 @@ from __future__ import annotations
 
 import bisect
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberline.llm import scratch, texts
+from emberline.llm import scratch
 
 CAPACITY = 4096
 END = 1
 #: Pieces of one length that are ranked together at least, and parts for each shuffle partition.
 PART, PARTS = 256, 4
+#: Bytes of the texts that are tokenised together, but for a longer one alone.
+SLICE = 8 << 20
 _TOKENIZERS: dict = {}
 
 
 class Chunks:
     """Token ids of texts as little-endian bytes; what stands between blanks is remembered for a while.
 
-    This tokenizer drops white space and never joins across it, so such chunks are tokenised alone. A chunk of
-    printable ASCII and Latin-1 letters, which normalising only lower-cases, goes word by word to the
-    tokenizer's model; any other chunk goes through the whole tokenizer.
+    This tokenizer drops white space and never joins across it, so such chunks are tokenised alone, and each distinct
+    one of a batch once. Chunks of printable ASCII and Latin-1 letters, which normalising only lower-cases, are cut to
+    words all together, and new words go to the tokenizer's model; any other chunk goes through the whole tokenizer.
+
+    A table of over MOST entries becomes the older of two; what is seen again moves to the younger, so frequent entries stay.
     """
 
-    MOST = 1 << 18
+    MOST = 3 << 16
     PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-    WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+    LINE = re.compile(r"[ -~À-ÖØ-öø-ÿ]*")
+    WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]| |[^a-z0-9ß-öø-ÿ ]+")
+    #: Between the chunks of a line; no id, and ids are below 2^16, so it is found at no other place of their bytes.
+    BLANK = b"\xff\xff\xff\xff"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -57,56 +65,92 @@ class Chunks:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.letters = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}
+        self.letters = {c: level.pre_tokenize_str(chr(c))[0][0] for c in [*range(0x21, 0x7F), *range(0xDF, 0x100)]}
         self.chunks: dict[str, bytes] = {"": b""}
-        self.words: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {" ": self.BLANK}
+        self.older_chunks: dict[str, bytes] = {}
+        self.older_words: dict[str, bytes] = {}
+
+    @staticmethod
+    def absent(keys: Iterable[str], table: dict[str, bytes], older: dict[str, bytes]) -> list[str]:
+        """The keys that neither table holds; what the older one alone holds is copied to ``table``."""
+        new = [k for k in keys if k not in table]
+        table.update((k, older[k]) for k in new if k in older)
+        return [k for k in new if k not in older]
 
     def word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            written = word if word.isascii() else word.translate(self.letters)
-            ids = self.words[word] = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(written))
-        return ids
-
-    def chunk(self, chunk: str) -> bytes:
-        if "<|" in chunk or not self.PLAIN.fullmatch(chunk):
-            return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.word, self.WORDS.findall(chunk.lower())))
-
-    def of(self, batch: list[str | None]) -> list[bytes]:
+        written = word if word.isascii() else word.translate(self.letters)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(written)])
+
+    def add(self, new: list[str]) -> None:
+        """Puts chunks into the table."""
+        plain, line = new, " ".join(new)
+        if "<|" in line or not self.LINE.fullmatch(line):
+            plain = [c for c in new if "<|" not in c and self.PLAIN.fullmatch(c)]
+            for c in {*new}.difference(plain):
+                self.chunks[c] = np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
+            line = " ".join(plain)
+        if not plain:
+            return
+        found = self.WORDS.findall(line.lower())
+        missing = self.absent(set(found), self.words, self.older_words)
+        self.words.update(zip(missing, map(self.word, missing)))
+        self.chunks.update(zip(plain, b"".join(map(self.words.__getitem__, found)).split(self.BLANK), strict=True))
+        for w in missing:
+            if len(w) > 64:
+                del self.words[w]
+
+    def of(self, batch: pa.Array | list[str | None]) -> list[bytes]:
         """Token ids of each text and the end token, 4 bytes each."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in batch]
+        split = pc.ascii_split_whitespace(batch if isinstance(batch, pa.Array) else pa.array(batch, pa.string()))
+        many = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False)
+        coded = pc.dictionary_encode(pc.list_flatten(split))
+        at, distinct = coded.indices.to_numpy(), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.chunks) > self.MOST:
-            self.chunks = {"": b""}
+            self.chunks, self.older_chunks = {"": b""}, self.chunks
         if len(self.words) > self.MOST:
-            self.words = {}
-        new = set().union(*split).difference(self.chunks)
-        for c in new:
-            self.chunks[c] = self.chunk(c)
-        end = END.to_bytes(4, "little")
-        out = [b"".join(map(self.chunks.__getitem__, chunks)) + end for chunks in split]
+            self.words, self.older_words = {" ": self.BLANK}, self.words
+        new = self.absent(distinct, self.chunks, self.older_chunks)
+        self.add(new)
+        held = [*map(self.chunks.__getitem__, distinct)]
         for c in new:  # texts without blanks would fill the memory
             if len(c) > 64:
                 del self.chunks[c]
-        return out
+        ids, size = np.frombuffer(b"".join(held), "<u4"), np.fromiter(map(len, held), np.int64, len(held)) // 4
+        start, size = (np.cumsum(size) - size)[at], size[at]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        raw = ids[np.arange(total, dtype=np.int32) + np.repeat((start - ends + size).astype(np.int32), size)].tobytes()
+        edges = (4 * np.concatenate([[0], ends])[np.cumsum([0, *many])]).tolist()
+        end = END.to_bytes(4, "little")
+        return [raw[a:b] + end for a, b in zip(edges, edges[1:])]
 
 
-def token_bytes(batch: list[str | None], path: str) -> list[bytes]:
+def token_bytes(batch: pa.Array | list[str | None], path: str) -> list[bytes]:
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = Chunks(path)
     return _TOKENIZERS[path].of(batch)
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose texts have about SLICE bytes."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes, dtype=np.int64) // SLICE
+    starts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(starts, starts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length and ids (little-endian 32-bit numbers) of the token pieces of every document."""
     step = 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, texts.SLICE):
-                batch = whole.slice(lo, texts.SLICE)
+            for batch in _slices(whole):
                 at, piece, start, cut = [], [], [], []
-                for i, ids in enumerate(token_bytes(batch.column(1).to_pylist(), path)):
+                for i, ids in enumerate(token_bytes(batch.column(1), path)):
                     for k in range(0, -(-len(ids) // step)):
                         at.append(i)
                         piece.append(k)
@@ -117,7 +161,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
                     names=["doc_id", "piece", "start", "length", "ids"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 
 
 def reduce(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, list[tuple[int, int]]]], dict[int, int]]:

@@ -148,3 +148,40 @@ def test_words_of_many_texts_are_remembered():
     chunks.of(["other words"])
     assert "w0" in chunks.chunks and "w" in chunks.words
     assert chunks.of([" ".join(f"w{i}" for i in range(150_000))]) == first
+
+
+def test_frequent_words_are_tokenised_once(monkeypatch):
+    class Counting:
+        def __init__(self, model):
+            self.model, self.seen = model, Counter()
+
+        def tokenize(self, word):
+            self.seen[word] += 1
+            return self.model.tokenize(word)
+
+    monkeypatch.setattr(packing.Chunks, "MOST", 200)
+    chunks = packing.Chunks(PATH)
+    chunks.model = Counting(chunks.model)
+    often = ["the", "burned", "area"]
+    for k in range(30):
+        rare = ["".join(chr(97 + int(d)) for d in f"{k:02}{i:03}") for i in range(60)]
+        chunks.of([" ".join([*often, *rare])])
+    assert all(chunks.model.seen[w] == 1 for w in often)
+    assert len(chunks.chunks) <= 200 + 64 and len(chunks.older_chunks) <= 200 + 64
+    assert len(chunks.words) <= 200 + 64 and len(chunks.older_words) <= 200 + 64
+
+
+def test_random_texts_give_the_tokenizer_ids(monkeypatch):
+    monkeypatch.setattr(packing.Chunks, "MOST", 50)
+    rng = random.Random(5)
+    signs = [*"aabbeessttTHE  \n\t\r\x0b\x0c\x1c\x1f\x85\xa0\xad''.,!?<|>09_-/", *"ÀÖ×Øßöµ÷ÿªº½", *"\u0301\u2019\u2028ſKİıσςΣжЖ漢😀ﬁ", "'s", "'RE", " 'll ", "<|endoftext|>", "<|ENDOFTEXT|>", "the "]
+    batches = [[None if rng.random() < 0.05 else "".join(rng.choices(signs[: rng.choice([14, 40, len(signs)])], k=rng.randint(0, 60))) for _ in range(rng.randint(0, 12))] for _ in range(120)]
+    tokenizer, chunks = Tokenizer.from_file(PATH), packing.Chunks(PATH)
+    for batch in batches:
+        want = [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [1], "<u4").tobytes() for t in batch]
+        assert chunks.of(batch) == want
+
+
+def test_batches_are_cut_by_bytes(odd, monkeypatch):
+    monkeypatch.setattr(packing, "SLICE", 40)
+    check_packed(packing.pack(odd, capacity=64).collect(), [(i, t) for i, t, *_ in ROWS], 64)
