@@ -2,8 +2,8 @@
 
 Each step replaces links by links to smaller numbers without losing connectivity; when a round changes
 nothing, every node is linked to the smallest of its component. Only links are moved, a group never meets
-in one task: the minimum of a node's neighbours is combined before the shuffle and sent to the links of a hub, and a round's links are written
-to the shared folder, so that the lineage of a round is one round.
+in one task: the minimum of a node's neighbours is combined before the shuffle and sent to the links of a hub. The links after each
+step and the smallest neighbours are written to the shared folder, so that a plan is half a step and the driver never plans a whole round at once.
 """
 
 from __future__ import annotations
@@ -14,9 +14,13 @@ from pyspark.sql import functions as F
 from emberline.llm import scratch, skew
 
 
-def _with_least(links: DataFrame, total: int) -> DataFrame:
+def _least(links: DataFrame) -> DataFrame:
+    """a, m, its smallest neighbour, and n, how many it has."""
+    return scratch.materialize(links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "least")
+
+
+def _with_least(links: DataFrame, least: DataFrame, total: int) -> DataFrame:
     """a, b, and m, the smallest neighbour of a. The hubs, fewer than HOT_SHARE by their counts, are broadcast."""
-    least = links.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
     limit = max(1, total // skew.HOT_SHARE)
     hubs = F.broadcast(least.filter(F.col("n") > limit).select(F.col("a").alias("hub"), F.col("m").alias("hub_m")))
     tried = links.join(hubs, F.col("a") == F.col("hub"), "left")
@@ -27,14 +31,14 @@ def _with_least(links: DataFrame, total: int) -> DataFrame:
 
 def _large_star(links: DataFrame, total: int) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return _with_least(both, 2 * total).filter("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
+    return _with_least(both, _least(both), 2 * total).filter("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
 
 
 def _small_star(links: DataFrame, total: int) -> DataFrame:
     """``links`` with a > b: each a and its smaller neighbours go to the smallest of them."""
-    least = _with_least(links, total)
-    moved = least.select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(links.groupBy("a").agg(F.min("b").alias("b"))).filter("a <> b")
+    least = _least(links)
+    moved = _with_least(links, least, total).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b")
 
 
 def _state(links: DataFrame):
@@ -47,8 +51,9 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     now = scratch.materialize(now, "links")
     state = _state(now)
     while True:
-        starred = _large_star(now, state[0]).distinct()
-        now = scratch.materialize(_small_star(starred, state[0]).distinct(), "links")
+        with scratch.Scope(links.sparkSession) as scope:
+            starred = scratch.materialize(_large_star(now, state[0]).distinct(), "starred")
+            now = scope.keep(scratch.materialize(_small_star(starred, state[0]).distinct(), "links"))
         before, state = state, _state(now)
         if state == before:
             break

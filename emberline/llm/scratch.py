@@ -34,6 +34,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Shuffle files and broadcasts of plans that are done go.
+
+    Spark drops them when the driver collects its garbage; until then they fill disks, and the driver's heap grows.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scope:
     """``with Scope(spark) as scope``: tables written inside are removed at its end, but for those given to ``keep``.
 
@@ -59,3 +67,4 @@ class Scope:
         for path in set(self.paths) - set(self.kept):
             at = sc._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+        release(self.spark)

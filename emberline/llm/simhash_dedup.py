@@ -336,7 +336,8 @@ def _held(nodes: DataFrame, ids: DataFrame) -> DataFrame:
     """The nodes (id and another column) that are perhaps among ``ids``."""
     ids = scratch.materialize(ids, "ends")
     bits = bloom.bits_for(ids.count())
-    marked = bloom.probe(nodes, bloom.of_keys(ids, F.xxhash64("id"), bits), F.xxhash64("id"), bits, "linked")
+    words = scratch.materialize(bloom.of_keys(ids, F.xxhash64("id"), bits), "words")  # once, though the result is read twice
+    marked = bloom.probe(nodes, words, F.xxhash64("id"), bits, "linked")
     return marked.filter("linked").drop("linked")
 
 
@@ -389,9 +390,11 @@ def group_similar(docs: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFr
         nodes = scratch.materialize(nodes.withColumn("id", F.col("first.uid")), "nodes")
         held = rows.select(F.col("uid").alias("id"), "codes", "counts")
         close, members = _close(nodes.select("id", "fs"))
-        perhaps = _tested(scratch.materialize(close, "close"), held, "counts", shared_at_most, threshold)
-        merged = _tested(scratch.materialize(perhaps, "perhaps"), held, "codes", shared_codes, threshold)
-        merged = scratch.materialize(merged, "verified")
+        close = scratch.materialize(close, "close")
+        scratch.release(docs.sparkSession)
+        perhaps = scratch.materialize(_tested(close, held, "counts", shared_at_most, threshold), "perhaps")
+        scratch.release(docs.sparkSession)
+        merged = scratch.materialize(_tested(perhaps, held, "codes", shared_codes, threshold), "verified")
         final = components.components(merged, "a", "b")
         if not members.isEmpty():
             stars = final.select(F.col("node").alias("a"), F.col("root").alias("b"))  # as connected as the links, and nearly done

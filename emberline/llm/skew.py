@@ -8,18 +8,24 @@ from pyspark.sql import types as T
 
 from emberline.llm import bloom, scratch
 
-#: A group is hot above this share of all rows, so there are fewer than 1000 hot groups at any size.
-HOT_SHARE = 1000
+#: A group is hot above this share of all rows, so there are fewer than 1000 hot groups at any size. One of at most FEW rows is never hot.
+HOT_SHARE, FEW = 1000, 64
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "inner") -> DataFrame:
     """``rows`` joined (inner or left) with the one row of ``groups`` that has their ``key``.
 
     ``size`` counts a group's rows among ``total``. Hot groups, fewer than HOT_SHARE by arithmetic, are
-    broadcast, so their rows stay where they are; the rest shuffles by key and no key of it is large.
+    broadcast, so their rows stay where they are; the rest shuffles by key and no key of it is large. Where none is hot,
+    ``rows`` are read once and nothing is broadcast.
     """
-    groups = scratch.materialize(groups, "groups")
-    least = max(1, total // HOT_SHARE)
+    if not hasattr(groups, "_scratch_path"):
+        groups = scratch.materialize(groups, "groups")
+    least = max(FEW, total // HOT_SHARE)
+    if (groups.agg(F.max(size)).first()[0] or 0) <= least:
+        held = groups.withColumnRenamed(key, "__k")
+        joined = rows.join(held, F.col(key).eqNullSafe(F.col("__k")), how)
+        return joined.select(*rows.columns, *[c for c in groups.columns if c != key])
     hot = groups.filter(F.col(size) > least)
     named = F.broadcast(hot.select(F.col(key).alias("__k"), F.struct(*[c for c in groups.columns if c != key]).alias("__g")))
     tried = rows.join(named, F.col(key).eqNullSafe(F.col("__k")), "left")
@@ -64,9 +70,13 @@ def keep_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     bits = bloom.bits_for(lost.count())
     row = F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row")
     packed = docs.select(row, F.xxhash64("doc_id", row_hash(docs)).alias("i"))
-    marked = bloom.probe(packed, bloom.of_keys(lost, F.col("i"), bits), F.col("i"), bits, "perhaps")
-    tried = join_groups(marked.filter("perhaps").drop("perhaps"), lost, "i", "size", lost.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], "left")
-    free = tried.filter("n IS NULL").select("row")
+    words = scratch.materialize(bloom.of_keys(lost, F.col("i"), bits), "words")  # once, though the rows are read several times
+    marked = bloom.probe(packed, words, F.col("i"), bits, "perhaps")
+    total, some = lost.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
+    tried = join_groups(marked.filter("perhaps").drop("perhaps"), lost, "i", "size", total, "left")
+    free = marked.filter(~F.col("perhaps")).select("row").unionByName(tried.filter("n IS NULL").select("row"))
+    if not some:
+        return free.select("row.*")
     twins = tried.filter("n > 0").groupBy("i").agg(F.first("row").alias("row"), F.first("n").alias("n"))  # identical rows, some of them kept
     twins = twins.select(F.explode(F.expr("array_repeat(row, CAST(n AS INT))")).alias("row"))
-    return marked.filter(~F.col("perhaps")).select("row").unionByName(free).unionByName(twins).select("row.*")
+    return free.unionByName(twins).select("row.*")
